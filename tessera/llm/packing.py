@@ -29,6 +29,10 @@ END_ID = 2
 LARGE = 1 / 3
 #: Numbers of groups that are tried; the plan with the fewest sequences counts.
 GROUPS = (256, 400)
+#: Pieces in a group at least, so that a configuration is used more than once.
+LEAST_IN_GROUP = 4
+#: Column generation ends after so many steps without gain; any basis on the way is a valid packing.
+PATIENCE = 25
 #: Pieces aimed at in a bucket of the ranks.
 ROWS_PER_BUCKET = 20_000
 
@@ -90,9 +94,11 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
     """
     k, b = len(sizes), np.array(demand, dtype=float)
     basis = np.diag([float(capacity // s) for s in sizes])
-    for _ in range(60 * k):
-        inverse = np.linalg.inv(basis)
-        x, dual = inverse @ b, np.ones(k) @ inverse
+    inverse = np.diag([1.0 / (capacity // s) for s in sizes])
+    best, idle = np.inf, 0
+    while idle < PATIENCE:
+        x, dual = (inverse * b).sum(axis=1), inverse.sum(axis=0)
+        best, idle = (x.sum(), 0) if x.sum() < best * (1 - 1e-6) else (best, idle + 1)
         # the most valuable filling at these prices: unbounded knapsack
         value, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
         s, d = np.array(sizes), np.maximum(dual, 0)
@@ -112,10 +118,16 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
             else:
                 column[choice[c]] += 1
                 c -= sizes[choice[c]]
-        direction = inverse @ column
+        direction = (inverse * column).sum(axis=1)
         ratio = np.where(direction > 1e-9, np.maximum(x, 0) / np.where(direction > 1e-9, direction, 1), np.inf)
-        basis[:, int(ratio.argmin())] = column
-    x = np.linalg.solve(basis, b)
+        leaving = int(ratio.argmin())
+        basis[:, leaving] = column
+        inverse[leaving] /= direction[leaving]
+        direction[leaving] = 0
+        inverse -= np.outer(direction, inverse[leaving])
+    x = np.maximum((inverse * b).sum(axis=1), 0)
+    if np.abs((basis * x).sum(axis=1) - b).max() > 1e-6 * b.max():  # too much rounding on the way
+        x = np.maximum(np.linalg.solve(basis, b), 0)
     return [(int(t + 1e-6), basis[:, j].astype(int).tolist()) for j, t in enumerate(x) if t >= 1 - 1e-6]
 
 
@@ -126,7 +138,7 @@ def _grouped(counts: dict[int, int], capacity: int, n_groups: int) -> Plan:
     small = {s: n for s, n in counts.items() if s not in large}
     if total:
         # Groups of equal cardinality in descending order of length; each has its own lengths left to give.
-        quota = -(-total // n_groups)
+        quota = max(LEAST_IN_GROUP, -(-total // n_groups))
         groups: list[list[list[int]]] = [[]]
         room = quota
         for s in sorted(large, reverse=True):
