@@ -28,7 +28,7 @@ SIMILARITY_PERCENT = 80
 #: Words in a shingle unless a caller says otherwise.
 SHINGLE_WORDS = 5
 #: Leaders a bucket names in a round after the first.
-LEADERS = 16
+LEADERS = 256
 #: Ids sent to all executors at most, when the texts of candidates are read again.
 BROADCAST_IDS = 500_000
 _MIX1, _MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
@@ -201,9 +201,10 @@ def links(docs: DataFrame, width: int = SHINGLE_WORDS, percent: int = SIMILARITY
             pairs = pairs.join(la, F.col("a") == F.col("_x"), "left").join(lb, F.col("b") == F.col("_y"), "left")
             pairs = pairs.filter(F.coalesce("x", "a") != F.coalesce("y", "b"))
             edges = first
-        found = _confirm(pairs.select("a", "b"), sets, percent)
-        edges = materialise(found if edges is None else edges.union(found).distinct(), "links")
-        label = components(edges)
+        found = materialise(_confirm(pairs.select("a", "b"), sets, percent), "links")
+        if not found.isEmpty():
+            edges = materialise(edges.union(found).distinct(), "links")
+            label = components(edges)
         # Leaders have met everyone in their bucket.
         used = lead.select("_k", "lead")
         open_ = materialise(state.join(used, (F.col("key") == F.col("_k")) & (F.col("node") == F.col("lead")), "left_anti").select("key", "node", "n"), "buckets")
