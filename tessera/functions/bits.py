@@ -5,21 +5,22 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def float_bits(x: pd.Series) -> pd.Series:
     """fp32 bit pattern as a number in [0, 2^32)."""
     return pd.Series(x.to_numpy("float32").view("uint32").astype("int64"))
 
 
-@F.pandas_udf("float")
+@F.pandas_udf(T.FloatType())
 def decode_half(x: pd.Series) -> pd.Series:
     """IEEE half-precision bits to their value."""
     return pd.Series(x.to_numpy("uint16").view("float16").astype("float32"))
 
 
-@F.pandas_udf("float")
+@F.pandas_udf(T.FloatType())
 def decode_bfloat16(x: pd.Series) -> pd.Series:
     """bfloat16 bits to their value: the upper half of a float32."""
     return pd.Series((x.to_numpy("uint32") << 16).view("float32"))
