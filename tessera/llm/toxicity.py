@@ -122,7 +122,7 @@ def fit(rows: list[list[int]], labels: np.ndarray, swaps: list[tuple[int, list[i
             gw = np.bincount(col, weights=g[doc], minlength=width) - np.bincount(scol, weights=d[sdoc], minlength=width)
         else:
             gw = np.bincount(col, weights=g[doc], minlength=width)
-        gw += l2 * w
+        gw = gw + l2 * w
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.999 * v + 0.001 * gw * gw, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         rate, c1, c2 = 0.1 / (1 + t / 100), 1 - 0.9**t, 1 - 0.999**t
         w = np.maximum(w - rate * (m / c1) / (np.sqrt(v / c2) + 1e-9), 0)
