@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bits
 from tessera.operators import codec, similarity, stats, symbols
-from tessera.sources import tensors
+from tessera.plans.scratch import folder
+from tessera.sources import containers, tensors
 from tessera.sources.tensors import EMB_SQL, NUM_SQL
+from tessera.streaming import ingest
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -329,6 +331,27 @@ def fragment_concat(spark, sf_dir):
     return t.select(F.col("l_orderkey").alias("tensor_id"), (F.row_number().over(W.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")) - 1).cast("long").alias("pos"), F.col("l_quantity").alias("value"))
 
 
+@query(ORACLE_SQL["fingerprint5"])
+def streaming_fingerprint(spark, sf_dir):
+    root = folder(spark, "stream")
+    ingest.ingest(ingest.files(spark, f"{sf_dir}/embeddings.parquet"), tensors.coordinates, ingest.moments, root)
+    return rounded(ingest.fingerprint5(ingest.merge_moments(ingest.states(spark, root, ingest.STATE))))
+
+
+_LE_BYTES = "substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2)"
+
+
+@query(f"""{_EMB}, w AS (SELECT layer, tensor_id, pos, pos // 1000000 AS chunk, printf('%08x', CASE WHEN b < 0 THEN b + 4294967296 ELSE b END) AS h
+    FROM (SELECT layer, tensor_id, pos, value::FLOAT::BIT::INTEGER::BIGINT AS b FROM src))
+  SELECT layer AS rank, tensor_id || '/' || chunk AS name, count(*) AS num_elements, true AS is_raw, 4 * count(*) AS bytes, sha256(unhex(string_agg({_LE_BYTES}, '' ORDER BY pos))) AS sha256 FROM w GROUP BY layer, tensor_id, chunk""")
+def container_roundtrip(spark, sf_dir):
+    root = folder(spark, "containers")
+    t = tensors.embeddings(spark, sf_dir).select(F.col("layer").alias("rank"), "tensor_id", "pos", bits.float_bits("value").alias("word"))
+    containers.states.write(containers.uncoded(t), root)
+    back = containers.states.read(spark, root)
+    return back.select("rank", "name", "num_elements", "is_raw", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("sha256"))
+
+
 @query()
 def codec_roundtrip(spark, sf_dir):
     t = tensors.embeddings(spark, sf_dir).select("tensor_id", "pos", bits.float_bits("value").alias("word"))

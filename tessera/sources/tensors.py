@@ -11,11 +11,16 @@ ELEMENTS = "tensor_id string, state_type string, category string, layer int, pos
 
 def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each coordinate of the embeddings is a tensor: tensor_id, state_type, category, layer, pos, value."""
-    return spark.sql(
+    return coordinates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def coordinates(rows: DataFrame) -> DataFrame:
+    """The same of any rows with vec_id and embedding, such as a micro-batch."""
+    return rows.sparkSession.sql(
         """SELECT concat('e', d) AS tensor_id, element_at(array('model_state', 'master_weights', 'exp_avg', 'exp_avg_sq'), d % 4 + 1) AS state_type,
              element_at(array('query', 'key', 'value', 'mlp_up'), CAST((d div 4) % 4 + 1 AS INT)) AS category, CAST(d div 16 AS INT) AS layer, vec_id AS pos, value
            FROM (SELECT vec_id, posexplode(embedding) AS (d, value) FROM {t})""",
-        t=spark.read.parquet(f"{sf_dir}/embeddings.parquet"),
+        t=rows,
     )
 
 

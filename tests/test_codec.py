@@ -13,7 +13,7 @@ def streams():
     yield np.minimum(r.geometric(0.3, 7001), 255)
 
 
-@pytest.mark.parametrize("data", streams())
+@pytest.mark.parametrize("data", list(streams()))
 def test_rans_round_trip(data):
     freq = codec.normalise(np.bincount(data, minlength=256))
     assert freq.sum() == codec.M
