@@ -83,6 +83,10 @@ def states(spark: SparkSession, root: str, schema: str | None = None) -> DataFra
 
 
 def files(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFrame:
-    """Parquet files as a stream, at most ``files_per_batch`` in a micro-batch."""
+    """Parquet files (a folder or one file) as a stream, at most ``files_per_batch`` in a micro-batch.
+
+    A stream takes a plain path for a folder; as a pattern, the same path may be one file too.
+    """
     schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    pattern = f"{path[:-1]}[{path[-1]}]"
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
