@@ -167,13 +167,10 @@ def _ids(batches: Iterator[pa.RecordBatch], encoder: Encoder, tail: bytes) -> It
 
 
 def _below(edges: Column, n: int) -> Column:
-    """Number of sorted ``edges`` below doc_id, by bisection in the expression itself."""
-    low, step = F.lit(0), 1 << max(0, n.bit_length() - 1)
-    while step:
-        probe = low + F.lit(step)
-        low = F.when((probe <= n) & (F.get(edges, probe - 1) < F.col("doc_id")), probe).otherwise(low)
-        step >>= 1
-    return low.cast("int")
+    """Number of sorted ``edges`` below doc_id: bisection as a fold over halving steps, so the expression stays small."""
+    steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
+    taken = lambda low, step: (low + step <= n) & (F.get(edges, low + step - 1) < F.col("doc_id"))
+    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(taken(low, step), low + step).otherwise(low)).cast("int")
 
 
 def read_back(manifest: DataFrame, root: str) -> DataFrame:

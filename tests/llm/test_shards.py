@@ -1,0 +1,14 @@
+import bisect
+
+from pyspark.sql import functions as F
+
+from tessera.llm import token_files
+
+
+def test_shard_of_an_id_with_many_splitters(spark):
+    for n in (1, 2, 3, 210, 1000):
+        cuts = [7 * i - 50 for i in range(n)]
+        edges = F.array(*[F.lit(c).cast("long") for c in cuts])
+        ids = spark.range(-60, 7 * n + 10, 3).withColumnRenamed("id", "doc_id")
+        got = ids.select("doc_id", token_files._below(edges, n).alias("shard")).collect()
+        assert all(r["shard"] == bisect.bisect_left(cuts, r["doc_id"]) for r in got)
