@@ -80,6 +80,13 @@ def ecdf(spark, sf_dir):
     return rounded(stats.ecdf(t).withColumn("value", F.col("value").cast("double")).select("tensor_id", "value", "ecdf"), 6).withColumn("value", F.col("value"))
 
 
+@query(f"""{_NUM}, k AS (SELECT tensor_id, value, count(*) AS c FROM src GROUP BY ALL)
+SELECT tensor_id, value::DOUBLE AS value, round(coalesce(sum(c) OVER (PARTITION BY tensor_id ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(c) OVER (PARTITION BY tensor_id), 6) AS ecdf FROM k""")
+def ecdf_all(spark, sf_dir):
+    """All four columns; ecdf is held to discount and tax by its SQL."""
+    return rounded(stats.ecdf(tensors.lineitem(spark, sf_dir)).withColumn("value", F.col("value").cast("double")).select("tensor_id", "value", "ecdf"), 6)
+
+
 def _counts(spark, sf_dir):
     return symbols.counts(tensors.lineitem(spark, sf_dir))
 

@@ -26,6 +26,11 @@ def test_against_sql(spark, name):
         assert all(x == pytest.approx(y, rel=1e-6, abs=2e-4) if isinstance(x, float) else x == y for x, y in zip(a, b, strict=True))
 
 
+def test_ecdf_covers_every_tensor(spark):
+    want = {r[0] for r in tensors.lineitem(spark, SF).select("tensor_id").distinct().collect()}
+    assert {r[0] for r in registry.QUERIES["ecdf_all"](spark, SF).select("tensor_id").distinct().collect()} == want and {x.split("_")[0] for x in want} == {"quantity", "price", "discount", "tax"}
+
+
 def test_round_trips(spark):
     for r in registry.codec_roundtrip(spark, SF).collect():
         assert r["rans_mismatches"] == r["tans_mismatches"] == 0 and r["freq_sum"] == 4096
