@@ -11,9 +11,14 @@ from collections import Counter
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tessera.operators.symbols import table_log
 
 SCALE_BITS, LANES, LOW = 12, 256, 1 << 23
 M = 1 << SCALE_BITS
+#: Symbols of the largest tANS table.
+MAX_VOCABULARY = 1 << 16
 
 
 def normalise(hist: np.ndarray, size: int = M, full: bool = False) -> np.ndarray:
@@ -158,27 +163,152 @@ def expand(tokens: list[int], rules: list[tuple[int, int, int, int]]) -> list[in
     return tokens
 
 
+def tans_code(codes: np.ndarray, freq: np.ndarray) -> tuple[int, int]:
+    """Bits and wrong symbols of a round trip; codes are positions in the vocabulary of ``freq``."""
+    table = tans_table(freq)
+    x, bits = tans_encode(codes.tolist(), freq, table)
+    back = tans_decode(len(codes), x, bits, freq, table)
+    return len(bits), int((np.array(back, dtype=np.int64) != codes).sum())
+
+
+def _masked(words: np.ndarray) -> tuple[np.ndarray, bytes]:
+    """The bytes of the upper halves, and the lower halves as they are."""
+    raw = np.ascontiguousarray(words.astype("<u4")).view(np.uint8).reshape(-1, 4)
+    return raw[:, 2:].ravel().astype(np.int64), raw[:, :2].tobytes()
+
+
 def roundtrip(bytes_: DataFrame) -> DataFrame:
     """Per (tensor_id, chunk) of rows (tensor_id, chunk, pos, word): sizes and mismatches of rANS over the
-    masked bytes (upper half of each word; the lower half is a raw sidecar) and of tANS over the top byte."""
+    masked bytes (upper half of each word; the lower half is a raw sidecar) and of tANS over whole words,
+    with the table of their own vocabulary. More than MAX_VOCABULARY words have no table and stay raw."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         words = pdf.sort_values("pos")["word"].to_numpy("int64")
-        raw = words.astype("<u4").view(np.uint8).astype(np.int64)
-        high = raw.reshape(-1, 4)[:, 2:].ravel()
+        high, _ = _masked(words)
         freq = normalise(np.bincount(high, minlength=256))
         state, lanes = rans_encode(high, freq)
         size = sum(map(len, lanes)) + 4 * LANES
         wrong = int((rans_decode(len(high), state, lanes, freq) != high).sum())
-        top = raw.reshape(-1, 4)[:, 3]
-        names, codes = np.unique(top, return_inverse=True)
-        tf = tans_quantise(np.bincount(codes), 1 << 8)
-        table = tans_table(tf)
-        x, bits = tans_encode(codes.tolist(), tf, table)
-        wrong_tans = sum(p != q for p, q in zip(tans_decode(len(codes), x, bits, tf, table), codes.tolist(), strict=True))
-        return pd.DataFrame({"tensor_id": [pdf["tensor_id"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "n": [len(words)], "rans_bytes": [min(size, len(high))], "is_raw": [size >= len(high)], "sidecar_bytes": [2 * len(words)], "tans_bits": [len(bits)], "rans_mismatches": [wrong], "tans_mismatches": [wrong_tans], "freq_sum": [int(freq.sum())]})
-
-    return bytes_.groupBy("tensor_id", "chunk").applyInPandas(run, "tensor_id string, chunk long, n long, rans_bytes long, is_raw boolean, sidecar_bytes long, tans_bits long, rans_mismatches long, tans_mismatches long, freq_sum long")
+        names, codes = np.unique(words, return_inverse=True)
+        log, plain = table_log(len(names)), len(names) > MAX_VOCABULARY
+        bits, wrong_tans = (32 * len(words), 0) if plain else tans_code(codes, tans_quantise(np.bincount(codes), 1 << log))
+        return pd.DataFrame({"tensor_id": [pdf["tensor_id"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "n": [len(words)], "rans_bytes": [min(size, len(high))], "is_raw": [size >= len(high)], "sidecar_bytes": [2 * len(words)], "tans_symbols": [len(names)], "tans_log": [log], "tans_raw": [plain], "tans_bits": [bits], "rans_mismatches": [wrong], "tans_mismatches": [wrong_tans], "freq_sum": [int(freq.sum())]})
+
+    return bytes_.groupBy("tensor_id", "chunk").applyInPandas(run, "tensor_id string, chunk long, n long, rans_bytes long, is_raw boolean, sidecar_bytes long, tans_symbols long, tans_log int, tans_raw boolean, tans_bits long, rans_mismatches long, tans_mismatches long, freq_sum long")
+
+
+def anchors(t: DataFrame) -> DataFrame:
+    """Per cluster of rows (cluster, tensor_id, word): its first tensor and that one's rANS table over the
+    masked bytes, with the full alphabet, so that any other tensor of the cluster can be coded with it."""
+    first = t.groupBy("cluster").agg(F.min("tensor_id").alias("anchor"))
+    own = t.join(first.select(F.col("cluster").alias("_c"), "anchor"), F.col("cluster").eqNullSafe(F.col("_c")) & (F.col("tensor_id") == F.col("anchor")))
+    byte = F.explode(F.array(*[F.shiftright("word", k).bitwiseAND(255).cast("int") for k in (16, 24)]))
+    hist = own.select("cluster", "anchor", byte.alias("byte")).groupBy("cluster", "anchor", "byte").agg(F.count(F.lit(1)).alias("cnt"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        freq = normalise(np.bincount(pdf["byte"], weights=pdf["cnt"], minlength=256), full=True)
+        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "anchor": [pdf["anchor"].iloc[0]], "norm_freq": [freq.tolist()]})
+
+    return hist.groupBy("cluster").applyInPandas(run, "cluster string, anchor string, norm_freq array<long>")
+
+
+def vocabularies(t: DataFrame) -> DataFrame:
+    """Per cluster of rows (cluster, word): the merged vocabulary and its tANS frequencies; clusters of
+    more than MAX_VOCABULARY words have no row."""
+    merged = t.groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("cnt"))
+    fit = merged.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= MAX_VOCABULARY).select(F.col("cluster").alias("_c"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("word")
+        freq = tans_quantise(pdf["cnt"].to_numpy("int64"), 1 << table_log(len(pdf)))
+        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "words": [pdf["word"].tolist()], "freq": [freq.tolist()]})
+
+    return merged.join(fit, F.col("cluster").eqNullSafe(F.col("_c"))).select("cluster", "word", "cnt").groupBy("cluster").applyInPandas(run, "cluster string, words array<long>, freq array<long>")
+
+
+def _gathered(t: DataFrame, *keys: str) -> DataFrame:
+    return t.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("x")).select(*keys, F.col("x.word").alias("word"))
+
+
+def shared_tables(t: DataFrame) -> DataFrame:
+    """Per (cluster, tensor_id, chunk) of rows (cluster, tensor_id, chunk, pos, word): tANS with the chunk's
+    own table against the table merged over the cluster, and rANS with the table of the cluster's anchor.
+
+    Table bytes are 8 a symbol, the cluster's counted once, with the first chunk of its anchor. What has
+    no table stays raw at 32 bits a word."""
+    models = anchors(t).join(vocabularies(t).withColumnRenamed("cluster", "_c"), F.col("cluster").eqNullSafe(F.col("_c")), "left").drop("_c")
+    first = t.groupBy("cluster", "tensor_id").agg(F.min("chunk").alias("first")).select(F.col("cluster").alias("_k"), F.col("tensor_id").alias("_t"), "first")
+    rows = _gathered(t, "cluster", "tensor_id", "chunk").join(first, F.col("cluster").eqNullSafe(F.col("_k")) & (F.col("tensor_id") == F.col("_t"))).drop("_k", "_t")
+    rows = rows.join(models.withColumnRenamed("cluster", "_c"), F.col("cluster").eqNullSafe(F.col("_c"))).drop("_c")
+
+    def one(r) -> tuple:
+        words = np.asarray(r.word, dtype=np.int64)
+        names, codes = np.unique(words, return_inverse=True)
+        own, wrong = (32 * len(words), 0) if len(names) > MAX_VOCABULARY else tans_code(codes, tans_quantise(np.bincount(codes), 1 << table_log(len(names))))
+        plain = r.words is None
+        vocabulary = np.asarray([] if plain else r.words, dtype=np.int64)
+        bits, wrong_shared = (32 * len(words), 0) if plain else tans_code(np.searchsorted(vocabulary, words), np.asarray(r.freq, dtype=np.int64))
+        high, _ = _masked(words)
+        freq = np.asarray(r.norm_freq, dtype=np.int64)
+        state, lanes = rans_encode(high, freq)
+        size = sum(map(len, lanes)) + 4 * LANES
+        wrong_rans = int((rans_decode(len(high), state, lanes, freq) != high).sum())
+        charged = r.tensor_id == r.anchor and r.chunk == r.first
+        own_table = 0 if len(names) > MAX_VOCABULARY else 8 * len(names)
+        return (r.cluster, r.tensor_id, r.chunk, r.anchor, len(words), own, own_table, bits, 8 * len(vocabulary) if charged else 0, plain, min(size, len(high)), wrong, wrong_shared, wrong_rans)
+
+    schema = "cluster string, tensor_id string, chunk long, anchor string, n long, own_bits long, own_table_bytes long, shared_bits long, shared_table_bytes long, shared_raw boolean, rans_bytes long, own_mismatches long, shared_mismatches long, rans_mismatches long"
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=[f.strip().split(" ")[0] for f in schema.split(",")])
+
+    return rows.mapInPandas(run, schema)
+
+
+def coded(t: DataFrame) -> DataFrame:
+    """Chunks of rows (rank, cluster, tensor_id, chunk, pos, word) as rANS states under their anchor's table:
+    what ``containers.states`` needs but for the place, and the sidecar's bytes. Where coding doesn't
+    shrink the masked bytes, they are held as they are."""
+    rows = _gathered(t, "rank", "cluster", "tensor_id", "chunk").join(anchors(t).withColumnRenamed("cluster", "_c"), F.col("cluster").eqNullSafe(F.col("_c"))).drop("_c")
+
+    def one(r) -> tuple:
+        high, side = _masked(np.asarray(r.word, dtype=np.int64))
+        state, lanes = rans_encode(high, np.asarray(r.norm_freq, dtype=np.int64))
+        plain = sum(map(len, lanes)) + 4 * LANES >= len(high)
+        sizes = [len(high), *[0] * (LANES - 1)] if plain else [len(x) for x in lanes]
+        data = high.astype(np.uint8).tobytes() if plain else b"".join(lanes)
+        offsets = (np.cumsum(sizes) - sizes).tolist()
+        return (r.rank, f"{r.tensor_id}/{r.chunk}", r.anchor, r.tensor_id == r.anchor, plain, len(high), len(high) // 2, [0] * LANES if plain else state.tolist(), sizes, offsets, data, side, r.norm_freq.tolist())
+
+    schema = "rank int, name string, anchor_name string, owns_table boolean, is_raw boolean, original_bytes long, num_elements long, final_states array<long>, byte_counts array<long>, buf_offsets array<long>, data binary, side binary, norm_freq array<long>"
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=[f.strip().split(" ")[0] for f in schema.split(",")])
+
+    return rows.mapInPandas(run, schema)
+
+
+def decoded(rows: DataFrame) -> DataFrame:
+    """(rank, name, words) of rows (rank, name, is_raw, original_bytes, final_states, byte_counts, buf_offsets,
+    data, side, norm_freq): the little-endian words that were coded."""
+
+    def one(r) -> tuple:
+        if r.is_raw:
+            high = np.frombuffer(r.data, np.uint8)
+        else:
+            lanes = [r.data[a : a + n] for a, n in zip(r.buf_offsets.tolist(), r.byte_counts.tolist(), strict=True)]
+            high = rans_decode(r.original_bytes, np.asarray(r.final_states, dtype=np.int64), lanes, np.asarray(r.norm_freq, dtype=np.int64))
+        out = np.empty((len(high) // 2, 4), dtype=np.uint8)
+        out[:, :2], out[:, 2:] = np.frombuffer(r.side, np.uint8).reshape(-1, 2), high.reshape(-1, 2)
+        return r.rank, r.name, out.tobytes()
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=["rank", "name", "words"])
+
+    return rows.mapInPandas(run, "rank int, name string, words binary")
 
 
 def shared_grammar(rows: DataFrame, max_rules: int = 50, masked_bits: int = 16, total_bits: int = 32) -> DataFrame:

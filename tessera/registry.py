@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import bits
 from tessera.operators import codec, similarity, stats, symbols
-from tessera.plans.scratch import folder
+from tessera.plans.scratch import folder, materialise
 from tessera.sources import containers, tensors
 from tessera.sources.tensors import EMB_SQL, NUM_SQL
 from tessera.streaming import ingest
@@ -365,6 +365,34 @@ def codec_roundtrip(spark, sf_dir):
     return codec.roundtrip(t.withColumn("chunk", F.floor(F.col("pos") / 2_000_000)))
 
 
+@query()
+def codec_shared_tables(spark, sf_dir):
+    t = tensors.embeddings(spark, sf_dir).select(F.concat_ws("/", "state_type", "category").alias("cluster"), "tensor_id", "pos", bits.float_bits("value").alias("word"))
+    return codec.shared_tables(t.withColumn("chunk", F.floor(F.col("pos") / 2_000_000)))
+
+
+@query(f"SELECT rank, name, num_elements, sha256 FROM ({ORACLE_SQL['container_roundtrip']})")
+def coded_container_roundtrip(spark, sf_dir):
+    """Coded states, sidecars and tables written, read and decoded to the words that went in."""
+    from pyspark.sql import Window as W
+
+    root = folder(spark, "coded")
+    t = tensors.embeddings(spark, sf_dir).select(F.col("layer").alias("rank"), F.concat_ws("/", "state_type", "category").alias("cluster"), "tensor_id", "pos", bits.float_bits("value").alias("word"))
+    rows = materialise(codec.coded(t.withColumn("chunk", F.floor(F.col("pos") / containers.CHUNK))), "coded")
+    place = (F.row_number().over(W.partitionBy("rank").orderBy("name")) - 1).cast("long").alias("place")
+    # the data isn't sorted along
+    placed = rows.select(F.col("rank").alias("_r"), F.col("name").alias("_n"), place).join(rows, F.col("rank").eqNullSafe(F.col("_r")) & (F.col("name") == F.col("_n")))
+    dtype = F.lit(containers.DTYPES["float32"]).alias("dtype")
+    containers.states.write(placed.withColumn("dtype", dtype).select(*[f.split()[0] for f in containers.STATES.split(", ")]), root)
+    containers.sidecars.write(placed.select("rank", "place", "name", dtype, F.lit(2).alias("bytes_per_elem"), "num_elements", F.col("side").alias("data")), root)
+    own = rows.groupBy("anchor_name").agg(F.min("rank").alias("rank"), F.first("norm_freq").alias("norm_freq"))
+    containers.tables.write(own.select("rank", (F.row_number().over(W.partitionBy("rank").orderBy("anchor_name")) - 1).cast("long").alias("place"), "anchor_name", "norm_freq", F.lit(None).cast("array<long>").alias("cum_freq")), root)
+    side = containers.sidecars.read(spark, root).select(F.col("rank").alias("_r"), F.col("name").alias("_n"), F.col("data").alias("side"))
+    table = containers.tables.read(spark, root).select(F.col("anchor_name").alias("_a"), "norm_freq")
+    back = containers.states.read(spark, root).join(side, (F.col("rank") == F.col("_r")) & (F.col("name") == F.col("_n"))).join(table, F.col("anchor_name") == F.col("_a"))
+    return codec.decoded(back.drop("_r", "_n", "_a")).select("rank", "name", (F.octet_length("words") / 4).cast("long").alias("num_elements"), F.sha2("words", 256).alias("sha256"))
+
+
 @query()
 def shared_grammar(spark, sf_dir):
     t = tensors.embeddings(spark, sf_dir)

@@ -1,8 +1,11 @@
 import numpy as np
 import pytest
 
+from tessera import registry
 from tessera.operators import codec
 
+SF = "/root/testdata/sf0.001"
+
 
 def streams():
     r = np.random.default_rng(4)
@@ -48,3 +51,58 @@ def test_grammar():
     short, rules = codec.grammar(tokens)
     assert rules[0] == (-1, 1, 2, 3) and codec.expand(short, rules) == tokens and len(short) < len(tokens)
     assert codec.grammar([1, 2, 3])[1] == []
+
+
+def words_of(spark, tensors):
+    rows = [(c, t, 0, i, int(w)) for c, t, x in tensors for i, w in enumerate(x)]
+    return spark.createDataFrame(rows, "cluster string, tensor_id string, chunk long, pos long, word long")
+
+
+def test_tans_codes_whole_words(spark):
+    r = np.random.default_rng(3)
+    low = r.integers(0, 200, 1500)  # the top byte is constant, the low one isn't
+    got = codec.roundtrip(words_of(spark, [("c", "a", low), ("c", "b", low * 0 + 7)]).drop("cluster")).collect()
+    got = {x["tensor_id"]: x for x in got}
+    cnt = np.bincount(low)
+    cnt = cnt[cnt > 0]
+    entropy = -(cnt * np.log2(cnt / cnt.sum())).sum()
+    assert got["a"]["tans_symbols"] == len(cnt) and got["a"]["tans_log"] == 8 and not got["a"]["tans_raw"]
+    assert entropy <= got["a"]["tans_bits"] + 16 and got["a"]["tans_bits"] < 1.1 * entropy
+    assert got["b"]["tans_bits"] == 0 and got["b"]["tans_log"] == 4 and all(x["tans_mismatches"] == 0 for x in got.values())
+
+
+def test_vocabulary_without_a_table_stays_raw(spark, monkeypatch):
+    monkeypatch.setattr(codec, "MAX_VOCABULARY", 10)
+    t = words_of(spark, [("c", "a", range(10)), ("d", "b", range(11))])
+    assert [r["cluster"] for r in codec.vocabularies(t).collect()] == ["c"]
+
+
+def test_shared_tables(spark):
+    r = np.random.default_rng(6)
+    tensors = [("c", "a", r.integers(0, 300, 900)), ("c", "b", r.integers(100, 500, 700)), ("d", "e", r.integers(0, 9, 400) << 20)]
+    t = words_of(spark, tensors)
+    got = {x["tensor_id"]: x for x in codec.shared_tables(t).collect()}
+    merged = np.unique(np.concatenate([tensors[0][2], tensors[1][2]]), return_counts=True)
+    model = {x["cluster"]: x for x in codec.vocabularies(t).collect()}
+    assert model["c"]["words"] == merged[0].tolist() and model["c"]["freq"] == codec.tans_quantise(merged[1], 512).tolist()
+    assert (got["a"]["shared_table_bytes"], got["b"]["shared_table_bytes"]) == (8 * len(merged[0]), 0) and got["b"]["anchor"] == "a"
+    assert all(x["own_mismatches"] == x["shared_mismatches"] == x["rans_mismatches"] == 0 and not x["shared_raw"] for x in got.values())
+    # a table of the tensor's own is never longer but for rounding; alone in its cluster, it is the shared one
+    assert got["b"]["own_bits"] < got["b"]["shared_bits"] and got["e"]["own_bits"] == got["e"]["shared_bits"] and got["e"]["own_table_bytes"] == got["e"]["shared_table_bytes"]
+    table = {x["cluster"]: x for x in codec.anchors(t).collect()}["c"]
+    assert table["anchor"] == "a" and sum(table["norm_freq"]) == codec.M and min(table["norm_freq"]) >= 1
+
+
+def test_coded_words_come_back(spark):
+    r = np.random.default_rng(8)
+    # long and even: coded; short: held as it is
+    tensors = [("c", "a", r.normal(size=3000).astype("<f4").view("<u4")), ("c", "b", r.normal(size=20).astype("<f4").view("<u4"))]
+    rows = codec.coded(words_of(spark, tensors).selectExpr("0 AS rank", "*"))
+    kept = {x["name"]: x for x in rows.collect()}
+    assert not kept["a/0"]["is_raw"] and kept["b/0"]["is_raw"] and kept["a/0"]["owns_table"] and kept["b/0"]["anchor_name"] == "a"
+    assert {x["name"]: bytes(x["words"]) for x in codec.decoded(rows).collect()} == {f"{t}/0": x.tobytes() for _, t, x in tensors}
+
+
+def test_coded_container_holds_coded_states(spark):
+    out = registry.coded_container_roundtrip(spark, SF).collect()
+    assert len(out) == 64 and {r["num_elements"] for r in out} == {500}
