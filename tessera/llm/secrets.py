@@ -6,6 +6,8 @@ middle, and lag-1 serial correlation. The smallest of the three p-values (times
 false-discovery control in strata of encoding and length: random strings have uniform p-values and
 structured ones have small ones, so the share above 1/2 gives the number of random strings, and the
 least p accepted in a stratum is the one from which structured strings are at most FDR of the rest.
+Too few strings support no such estimate; of them, the least p is the one from which a binomial test
+doesn't reject that structured ones are at most FDR, which a lone string passes from ALPHA on.
 """
 
 from __future__ import annotations
@@ -47,8 +49,11 @@ FDR = 0.05
 BINS = 100
 #: A p-value below this is never accepted: the battery itself rejects randomness.
 ALPHA = 0.01
-#: Strata with fewer strings than this share the threshold of their encoding.
+#: Strata with fewer strings from ALPHA on than this share the threshold of their encoding; encodings
+#: with fewer are tested.
 LEAST = 50
+#: Level of that test.
+LEVEL = 0.01
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -71,6 +76,18 @@ def encoding(token: str) -> str | None:
     return next((k for k, s in _SETS.items() if chars <= s), None)
 
 
+def readable(token: str, start: int = 0, marks: str = "/+") -> Iterator[tuple[int, int, str]]:
+    """(start, end, encoding) of a candidate or, if no encoding holds it, of its parts between the marks."""
+    kind = encoding(token)
+    if kind:
+        yield start, start + len(token), kind
+    elif marks:
+        for part in token.split(marks[0]):
+            if len(part) >= 20:
+                yield from readable(part, start, marks[1:])
+            start += len(part) + 1
+
+
 def _normal(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
@@ -120,9 +137,9 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             base = base_spans(text)
             more = []
             for m in _CANDIDATE.finditer(text):
-                kind = encoding(m[0])
-                if kind and not any(s < m.end() and m.start() < e for s, e, _ in base):
-                    more.append({"start": m.start(), "end": m.end(), "stratum": f"{kind}:{_band(m.end() - m.start())}", "p": battery(m[0], kind)})
+                for start, end, kind in readable(m[0], m.start()):
+                    if not any(s < end and start < e for s, e, _ in base):
+                        more.append({"start": start, "end": end, "stratum": f"{kind}:{_band(end - start)}", "p": battery(text[start:end], kind)})
             spans.append([{"start": s, "end": e, "kind": k} for s, e, k in base])
             found.append(more)
         yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(spans, type=_SPANS), pa.array(found, type=_FOUND)], names=["doc_id", "base", "found"])
@@ -133,13 +150,28 @@ _FOUND = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("strat
 _SCHEMA = "base array<struct<start:long,end:long,kind:int>>, found array<struct<start:long,end:long,stratum:string,p:double>>"
 
 
+def _supported(counts: np.ndarray) -> bool:
+    """Whether the counts from ALPHA on are enough for an estimate."""
+    return counts[math.ceil(ALPHA * len(counts)) :].sum() >= LEAST
+
+
+def _at_most(k: int, n: int, share: float) -> float:
+    """Chance of k or fewer of n."""
+    return sum(math.comb(n, j) * share**j * (1 - share) ** (n - j) for j in range(k + 1))
+
+
 def least_p(counts: np.ndarray, fdr: float = FDR) -> float:
     """The smallest p-value to accept, from counts of p-values in equal classes."""
     bins = len(counts)
-    random = min(2.0 * counts[bins // 2 :].sum(), counts.sum())
+    high = int(counts[bins // 2 :].sum())
+    random = min(2.0 * high, counts.sum())
     upper = counts[::-1].cumsum()[::-1]
+    few = not _supported(counts)
     for i in range(max(1, math.ceil(ALPHA * bins)), bins // 2 + 1):
-        if upper[i] and 1 - min(1.0, random * (1 - i / bins) / upper[i]) <= fdr:
+        # at most fdr structured: this share of the accepted ones, or more, lies above 1/2
+        if few and _at_most(high, int(upper[i]), min(1.0, (1 - fdr) / 2 / (1 - i / bins))) >= LEVEL:
+            return i / bins
+        if not few and upper[i] and 1 - min(1.0, random * (1 - i / bins) / upper[i]) <= fdr:
             return i / bins
     return 0.5
 
@@ -150,7 +182,7 @@ def thresholds(histogram: dict[tuple[str, int], int], fdr: float = FDR) -> dict[
     for (stratum, bin_), n in histogram.items():
         own[stratum][bin_] += n
         pooled[stratum.split(":")[0]][bin_] += n
-    return {s: least_p(c if c.sum() >= LEAST else pooled[s.split(":")[0]], fdr) for s, c in own.items()}
+    return {s: least_p(c if _supported(c) else pooled[s.split(":")[0]], fdr) for s, c in own.items()}
 
 
 def scan(docs: DataFrame, fdr: float = FDR) -> DataFrame:

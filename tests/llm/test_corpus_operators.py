@@ -182,6 +182,38 @@ def test_secrets(spark):
     assert secrets.digest([(1, 25, 2)]) == hashlib.sha256(b"hex:1:25").hexdigest()
 
 
+def test_few_secrets_alone(spark):
+    r = np.random.default_rng(7)
+    b62 = secrets.ENCODINGS["base62"]
+    token = lambda: "".join(b62[i] for i in r.integers(0, 62, 40))
+    missed = {n: 0 for n in (1, 2, 3, 4, 5, 10)}
+    for n in missed:
+        for _ in range(200):
+            p = [secrets.battery(token(), "base62") for _ in range(n)]
+            least = secrets.thresholds(Counter(("base62:21", min(int(x * secrets.BINS), secrets.BINS - 1)) for x in p))["base62:21"]
+            missed[n] += sum(x < least for x in p) / n
+    assert all(m <= 8 for m in missed.values())  # ALPHA alone costs 2 of 200
+    # neither do structured ones of the same encoding hide it: their p-values are below ALPHA
+    assert secrets.thresholds({("base62:21", 0): 500, ("base62:21", 30): 1}) == {"base62:21": secrets.ALPHA}
+    # but many middling ones without any above 1/2 aren't random
+    assert secrets.least_p(np.array([0.0] * 10 + [1] * 30 + [0] * 60)) > 0.35
+    p = 0.0
+    while not secrets.ALPHA <= p < 0.5:
+        lone = token()
+        p = secrets.battery(lone, "base62")
+    assert [[s["start"], s["end"]] for s in secrets.scan(make(spark, [(1, f"see {lone} here", None)])).first()["spans"]] == [[4, 44]]
+
+
+def test_secret_between_slashes(spark):
+    url = secrets.ENCODINGS["base64url"]
+    r = random.Random(4)
+    key = "-" + "".join(r.choice(url) for _ in range(42)) + "_"
+    text = f"get /files/old-name/{key}/x now"
+    assert [text[s["start"] : s["end"]] for s in secrets.scan(make(spark, [(1, text, None)])).first()["spans"]] == [key]
+    assert list(secrets.readable("a" * 25 + "/" + "b-" * 12 + "/" + "c" * 24)) == []
+    assert list(secrets.readable("Ab1" * 7 + "+" + "c-2" * 7)) == [(0, 21, "base62"), (22, 43, "base64url")]
+
+
 def test_targets():
     got = mixing.targets([("a", 100), ("b", 100), (None, 10)])
     assert sum(got.values()) == pytest.approx(315) and all(v <= 2 * n + 1e-9 for v, n in ((got["a"], 100), (got["b"], 100), (got[None], 10)))
