@@ -7,6 +7,7 @@ the loss as the squared change of the logit, so weight can't settle on the mere
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -32,9 +33,9 @@ MAX_TRAIN_DOCS = 20_000
 MAX_FEATURES = 4096
 #: Documents of the training set that must hold a feature.
 MIN_DOCS = 3
-#: Standard errors by which a feature's rates under the two labels must differ: chance alone gives
-#: fewer than one such feature in a million.
-MIN_Z = 5.0
+#: Features kept by chance among the kept ones, at most: the bar follows from how many were tried and
+#: how many stand out, so that it suits tables of any size.
+FEATURE_FDR = 0.01
 #: Lengths of word beginnings that are features beside the word itself.
 PREFIXES = (4, 5, 6, 7, 8)
 FLAGGED = 0.3
@@ -92,6 +93,11 @@ class Lexicon:
         return [self.of((words - {w}) | {other}) for w in sorted(words & self.family.keys()) for other in self.family[w] if other != w]
 
 
+def stand_out(z: list[float], tried: int, fdr: float = FEATURE_FDR) -> int:
+    """How many of the largest z-values, in falling order, Benjamini and Hochberg's rule keeps of all that were tried."""
+    return max((i for i, x in enumerate(z, 1) if 0.5 * math.erfc(x / math.sqrt(2)) <= fdr * i / tried), default=0)
+
+
 def _matrix(rows: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     n = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
     return np.repeat(np.arange(len(rows)), n), np.fromiter((i for r in rows for i in r), dtype=np.int64, count=int(n.sum()))
@@ -144,10 +150,11 @@ def train(docs: DataFrame, labels: DataFrame, families: Iterable[tuple[str, ...]
     counts = sample.select("text", "label").mapInArrow(_feature_counts, "feature string, n0 long, n1 long").groupBy("feature").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     rate0, rate1 = (F.col("n0") + 0.5) / (n0 + 1.0), (F.col("n1") + 0.5) / (n1 + 1.0)
     spread = F.sqrt((F.col("n0") + F.col("n1") + 1.0) * (1.0 / (n0 + 1) + 1.0 / (n1 + 1)) / (n0 + n1 + 2.0))
-    ranked = counts.withColumn("z", (rate1 - rate0) / spread).filter((F.col("n0") + F.col("n1") >= MIN_DOCS) & (F.col("z") >= MIN_Z))
-    best = ranked.orderBy(F.desc("z"), "feature").limit(MAX_FEATURES)
+    tried = materialise(counts.filter(F.col("n0") + F.col("n1") >= MIN_DOCS).select("feature", ((rate1 - rate0) / spread).alias("z")), "features")
+    best = tried.filter("z > 0").orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
+    best = best[: stand_out([r["z"] for r in best], tried.count())]
     families = tuple(tuple(f) for f in families)
-    names = sorted({r["feature"] for r in best.collect()} | {w for f in families for w in f})
+    names = sorted({r["feature"] for r in best} | {w for f in families for w in f})
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(names, families)

@@ -335,6 +335,30 @@ def test_toxicity(spark):
     assert toxicity.train(docs, lab.limit(0))[2] == -20.0
 
 
+def test_toxicity_of_a_small_table(spark):
+    r = random.Random(9)
+    plain = ["".join(r.choice("abcdefghijklmnop") for _ in range(5)) for _ in range(400)]
+    rows, labels = [], []
+    for i in range(64):
+        # 9 toxic rows, 5 of them with one insult and 4 with another
+        insult = ["vile", "scum"][i % 2] if i < 9 else None
+        rows.append((4 * i, " ".join([*(r.choice(plain) for _ in range(30)), *([insult] if insult else [])]), None))
+        labels.append((4 * i, int(i < 9)))
+    labels = [x for x in labels if zlib.crc32(str(x[0]).encode()) % 4 != 2]
+    learned = {i for i, t in labels if t}
+    assert 5 <= len(learned) <= 9
+    docs, lab = make(spark, rows), spark.createDataFrame(labels, "doc_id long, toxic int")
+    found = {x["doc_id"] for x in toxicity.score(docs, toxicity.train(docs, lab)).filter("predicted = 1").collect()}
+    assert found and found <= {4 * i for i in range(9)}
+    assert {x["doc_id"] for x in toxicity.reject(docs, lab).collect()} == {i for i, _, _ in rows} - found
+
+
+def test_features_that_stand_out():
+    assert toxicity.stand_out([4.7] * 24, 3694) == 24 and toxicity.stand_out([], 0) == 0
+    z = np.sort(np.random.default_rng(1).normal(size=100_000))[::-1]
+    assert toxicity.stand_out(z[:4096].tolist(), len(z)) <= 1
+
+
 @pytest.mark.parametrize("keep", ["min", "max"])
 def test_exact_dedup(spark, rows, docs, keep):
     groups = defaultdict(list)
