@@ -154,16 +154,78 @@ def _rows(ids, keys, word, n, score, seen) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([ids, pa.array(keys, type=pa.int64()), pa.array(word, type=pa.int64()), pa.array(n, type=pa.int64()), pa.array(score, type=pa.float64()), pa.array(seen, type=pa.int64())], names=["doc_id", "key", "word", "n", "score", "seen"])
 
 
-def score(docs: DataFrame, min_count: int = MIN_COUNT, alpha: float = ALPHA) -> DataFrame:
+def _grams(order: int):
+    """Per word: hashes of the 1 to ``order`` words that end there (g1, ...), and of the words before the last (x2, ...)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in slices(batches):
+            flat, n = _words(texts)
+            doc = np.repeat(np.arange(len(n)), n)
+            at = np.arange(len(flat)) - np.repeat(np.cumsum(n) - n, n)
+            before, has = [], []  # of each length: hashes, and which words have so many
+            for k in range(1, order + 1):
+                if k == 1:
+                    before.append(flat)
+                else:
+                    x = np.roll(before[-1], 1) * np.uint64(0x9E3779B97F4A7C15) + flat * np.uint64(0xC2B2AE3D27D4EB4F) + np.uint64(k)
+                    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+                    before.append(x ^ (x >> np.uint64(29)))
+                has.append(at >= k - 1)
+            cols = [pa.array(g.view(np.int64), mask=~h) for g, h in zip(before, has, strict=True)]
+            cols += [pa.array(np.roll(g, 1).view(np.int64), mask=~h) for g, h in zip(before[:-1], has[1:], strict=True)]
+            take = pa.array(doc)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").take(take), part.column("key").take(take), *cols], names=["doc_id", "key", *_names(order)])
+
+    return run
+
+
+def _names(order: int) -> list[str]:
+    return [f"g{k}" for k in range(1, order + 1)] + [f"x{k}" for k in range(2, order + 1)]
+
+
+def _sums(rows: DataFrame, kind: str, order: int, min_count: int, alpha: float) -> DataFrame:
+    """doc_id, key, score, seen by contexts of up to ``order`` - 1 words. Counts are aggregated before they
+    are exchanged; a word goes on to the shorter contexts only as long as no longer one is in the model."""
+    grams = rows.mapInArrow(_grams(order), f"doc_id {kind}, key long, {', '.join(f'{c} long' for c in _names(order))}")
+    unigrams = materialise(grams.groupBy("g1").agg(F.count(F.lit(1)).alias("c")), "grams")
+    total = unigrams.agg(F.sum("c")).first()[0] or 1
+    counts, models = unigrams, [unigrams.select(F.col("g1").alias("_g"), (F.log("c") - F.lit(math.log(total))).alias("s"))]
+    for k in range(2, order + 1):
+        # a context is at least as frequent as what it begins, so pruned tables hold it
+        c = materialise(grams.filter(F.col(f"g{k}").isNotNull()).groupBy(f"g{k}").agg(F.count(F.lit(1)).alias("c"), F.first(f"x{k}").alias("x")).filter(F.col("c") >= min_count), "grams")
+        up = counts.select(F.col(f"g{k - 1}").alias("_x"), F.col("c").alias("cx"))
+        models.append(materialise(c.join(up, F.col("x") == F.col("_x")).select(F.col(f"g{k}").alias("_g"), (F.log("c") - F.log("cx")).alias("s")), "model"))
+        counts = c
+    left = grams.groupBy("doc_id", "key", *[f"g{k}" for k in range(1, order + 1)]).agg(F.count(F.lit(1)).alias("tf")).withColumn("lost", F.lit(0.0))
+    done = []
+    for k in range(order, 0, -1):
+        met = materialise(left.join(models[k - 1], F.col(f"g{k}") == F.col("_g"), "left"), "met")
+        done.append(met.filter("s IS NOT NULL").select("doc_id", "key", (F.col("tf") * (F.col("s") + F.col("lost"))).alias("score"), (F.col("tf") * F.lit(int(k > 1))).alias("seen")))
+        # backing off costs only where there was a context
+        step = F.when(F.col(f"g{k}").isNotNull(), F.lit(math.log(alpha))).otherwise(F.lit(0.0))
+        left = met.filter("s IS NULL").select("doc_id", "key", "tf", *[f"g{j}" for j in range(1, k)], (F.col("lost") + step).alias("lost"))
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    return out.groupBy("doc_id", "key").agg(F.sum("score").alias("score"), F.sum("seen").alias("seen"))
+
+
+def score(docs: DataFrame, min_count: int = MIN_COUNT, alpha: float = ALPHA, order: int = 2) -> DataFrame:
     """doc_id, n_words, n_seen (bigrams of the model), log_score, mean_log_score.
 
     Words are lower-cased (A-Z) and ASCII-space separated. A first word has no context and scores
     c(w) / N. Documents without words score 0 in sum and null in the mean; null texts are such.
     Repeated rows are scored alike and all count in the model. Columns other than doc_id and text
-    play no part. Empty input: no rows. All counts cover all documents.
+    play no part. Empty input: no rows. All counts cover all documents. From ``order`` 3 on, contexts have
+    up to order - 1 words, each step back to a shorter one costs ``alpha``, n_seen counts the words
+    scored by any context, and n-grams are told apart by 64-bit hashes.
     """
+    if order < 2:
+        raise ValueError("order: 2 at least")
     spark = docs.sparkSession
     rows = one_text(docs).withColumn("key", F.xxhash64("text"))
+    if order > 2:
+        return _finish(rows, _sums(rows, dict(docs.dtypes)["doc_id"], order, min_count, alpha))
     counts = materialise(rows.mapInArrow(_count, _SCHEMA).groupBy("word").agg(F.sum("n").alias("n")), "words")
     total = counts.agg(F.sum("n")).first()[0] or 0
     top = counts.orderBy(F.desc("n"), "word").limit(TABLE_WORDS).toArrow()
@@ -177,6 +239,11 @@ def score(docs: DataFrame, min_count: int = MIN_COUNT, alpha: float = ALPHA) ->
     far = parts.filter("word IS NOT NULL").select("doc_id", "key", "word", F.col("n").alias("tf"))
     far = far.join(counts.withColumnRenamed("word", "_w"), F.col("word") == F.col("_w")).select("doc_id", "key", ((F.log("n") - F.lit(math.log(max(total, 1)))) * F.col("tf")).alias("score"), F.lit(0).cast("long").alias("seen"))
     sums = near.unionByName(far).groupBy("doc_id", "key").agg(F.sum("score").alias("score"), F.sum("seen").alias("seen"))
+    return _finish(rows, sums)
+
+
+def _finish(rows: DataFrame, sums: DataFrame) -> DataFrame:
+    """Scores of all rows from the sums of those with words."""
     sized = rows.select("doc_id", "key", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+"), lambda x: x != "")).cast("long").alias("n_words"))
     # rows with one id and text have been summed together
     sized = sized.groupBy("doc_id", "key").agg(F.max("n_words").alias("n_words"), F.count(F.lit(1)).alias("times"))
@@ -192,6 +259,12 @@ def op3_lm_scoring(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_seen", F.round("log_score", 3).alias("log_score"))
 
 
+def op3_lm_scoring_trigrams(spark, sf_dir: str) -> DataFrame:
+    """Contexts of two words; op3_lm_scoring is held to bigrams by its SQL."""
+    out = score(read(spark, sf_dir, "documents"), order=3)
+    return out.select("doc_id", "n_words", "n_seen", F.round("log_score", 3).alias("log_score"))
+
+
 SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents),

@@ -7,7 +7,7 @@ from tessera.llm import chat_format, exact_dedup, lm_scoring, minhash, mixing, p
 QUERIES = {
     f.__name__: f
     for f in (
-        quality.op1_quality, packing.op2_packing, lm_scoring.op3_lm_scoring, chat_format.op4_chat_format, secrets.op5_secrets,
+        quality.op1_quality, packing.op2_packing, lm_scoring.op3_lm_scoring, lm_scoring.op3_lm_scoring_trigrams, chat_format.op4_chat_format, secrets.op5_secrets,
         mixing.op6_mixing, token_files.op7_token_files, minhash.op8_minhash, toxicity.op9_toxicity, exact_dedup.op10_exact_dedup,
     )
 }

@@ -145,6 +145,28 @@ def test_lm_scores(spark, rows, docs):
         assert (r["mean_log_score"] is None) == (not d)
 
 
+@pytest.mark.parametrize("order", [3, 4])
+def test_lm_scores_of_higher_orders(spark, rows, docs, order):
+    words = [[w.decode() for w in (x or "").encode().lower().split()] for _, x, _ in rows]
+    count = Counter(tuple(d[i : i + k]) for d in words for k in range(1, order + 1) for i in range(len(d) - k + 1))
+    total = sum(map(len, words))
+    out = {(r["doc_id"], r["n_words"]): r for r in lm_scoring.score(docs, order=order).collect()}
+    assert lm_scoring.score(docs, order=order).count() == len(rows) and lm_scoring.score(docs.limit(0), order=order).count() == 0
+    longest = Counter()
+    for (i, _, _), d in zip(rows, words, strict=True):
+        s = seen = 0
+        for j in range(len(d)):
+            for k in range(min(order, j + 1), 0, -1):
+                g = tuple(d[j - k + 1 : j + 1])
+                if k == 1 or count[g] >= 2:
+                    s += np.log(count[g] / (count[g[:-1]] if k > 1 else total)) + np.log(0.4) * (min(order, j + 1) - k)
+                    seen += k > 1
+                    longest[k] += 1
+                    break
+        assert out[i, len(d)]["log_score"] == pytest.approx(s) and out[i, len(d)]["n_seen"] == seen
+    assert longest[order] and longest[2] and longest[1]
+
+
 def test_chat(spark):
     bad = "\\<s>[INST]</s>\\[/INST]<<s>\n\\\\"
     turns = [(1, 0, "system", "be"), (1, 1, "user", bad), (1, 2, "assistant", bad + "!"), (1, 3, "user", None), (1, 4, "assistant", "two"), (2, 0, "assistant", ""), (3, 0, "user", "x"), (3, 0, "user", "x"), (None, None, None, None), (4, 1, "assist</s>ant\n", "y")]
