@@ -8,6 +8,7 @@ in two levels so that no single key's rows meet in one task.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -100,19 +101,30 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: Iterable[C
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
     """Parts of the batches with about ``limit`` bytes of text, and the texts as UTF-8 (null: empty)."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        texts = batch.column(batch.schema.get_field_index(column))
-        sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
-        start = total = 0
-        for i, n in enumerate([*sizes, limit + 1]):
-            if i > start and (total + n > limit or i == len(sizes)):
-                part = batch.slice(start, i - start)
-                own = part.column(part.schema.get_field_index(column))
-                yield part, [x or b"" for x in own.cast(pa.binary() if not pa.types.is_large_string(own.type) else pa.large_binary()).to_pylist()]
-                start, total = i, 0
-            total += n
+    try:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = batch.column(batch.schema.get_field_index(column))
+            sizes = pc.fill_null(pc.binary_length(texts), 0).to_pylist()
+            start = total = 0
+            for i, n in enumerate([*sizes, limit + 1]):
+                if i > start and (total + n > limit or i == len(sizes)):
+                    part = batch.slice(start, i - start)
+                    own = part.column(part.schema.get_field_index(column))
+                    yield part, [x or b"" for x in own.cast(pa.binary() if not pa.types.is_large_string(own.type) else pa.large_binary()).to_pylist()]
+                    start, total = i, 0
+                total += n
+    finally:
+        release()
+
+
+def release() -> None:
+    """Give memory that is free again back to the system: Python workers live on for later tasks."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 def one_text(docs: DataFrame) -> DataFrame:

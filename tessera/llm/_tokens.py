@@ -18,8 +18,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
-#: Words kept by a worker, at most; later ones are encoded each time.
-CACHE = 600_000
+#: Bytes of words and ids kept by a worker, about; later words are encoded each time.
+CACHE_BYTES = 48 << 20
+#: What an entry takes besides its characters: two objects and its place in the table.
+ENTRY_BYTES = 180
 #: Stands before a word that no space precedes.
 _BARE = "\x01"
 #: White space besides space and newline, and the mark itself.
@@ -59,6 +61,7 @@ class Encoder(dict):
         self.size = self.tokenizer.get_vocab_size()
         self._tokenize = self.tokenizer.model.tokenize
         self._letters = _byte_letters()
+        self._left = CACHE_BYTES
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -79,7 +82,8 @@ class Encoder(dict):
             out = _bytes(self.whole(["\n"])[0])
         else:
             out = _bytes(self.whole([text if bare else " " + text])[0])
-        if len(self) < CACHE:
+        if self._left > 0:
+            self._left -= ENTRY_BYTES + len(word) + len(out)
             self[word] = out
         return out
 

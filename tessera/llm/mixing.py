@@ -10,30 +10,38 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._common import fresh, materialise, read, running_total, slices
+from tessera.llm._common import fresh, materialise, partitions, read, running_total, slices
 
 WEIGHTS = (3, 1, 2)
 #: The mix, as a share of all words.
 BUDGET = 1.5
 #: Times a document may be taken.
 EPOCHS = 2
-#: Rows aimed at in a bucket of the running sums.
+#: Rows aimed at in a bucket of the running sums, and in a range of the queue.
 ROWS_PER_BUCKET = 20_000
+#: Sources whose sums may go to the driver and to all executors; with more, the targets are found by a table.
+DRIVER_SOURCES = 50_000
 
 
-def count_words(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size: ASCII-space separated words of the whole text (null: 0)."""
+def count_words(docs: DataFrame, seed: int = 0) -> DataFrame:
+    """doc_id, source, h, size: hash of the row's id, source and text, and the ASCII-space separated
+    words of the whole text (null: 0)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, texts in slices(batches):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array([len(t.split()) for t in texts], type=pa.int64())], names=["doc_id", "source", "size"])
+            sizes = pa.array([len(t.split()) for t in texts], type=pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), part.column("h"), sizes], names=["doc_id", "source", "h", "size"])
 
     kinds = dict(docs.dtypes)
-    return docs.select("doc_id", "source", "text").mapInArrow(count, f"doc_id {kinds['doc_id']}, source {kinds['source']}, size long")
+    return docs.select("doc_id", "source", "text", row_hash(seed).alias("h")).mapInArrow(count, f"doc_id {kinds['doc_id']}, source {kinds['source']}, h long, size long")
+
+
+def row_hash(seed: int) -> Column:
+    return F.xxhash64("doc_id", "source", "text", F.lit(seed))
 
 
 def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> dict[str | None, float]:
@@ -57,71 +65,97 @@ def targets(sizes: list[tuple[str | None, int]], weights=WEIGHTS, budget: float
     return out
 
 
+def targets_table(sizes: DataFrame, weights=WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS) -> DataFrame:
+    """``targets`` of a table (source, source_size) of any length: source, source_size, target.
+
+    Sources are numbered in a range sort; a round of the sharing is one aggregate."""
+    n = partitions(sizes.sparkSession)
+    ranged = sizes.select("source", "source_size").repartitionByRange(n, F.col("source").asc_nulls_last())
+    ranged = materialise(ranged.withColumn("range", F.spark_partition_id()), "sources")
+    before, at = {}, 0
+    for r in sorted(ranged.groupBy("range").count().collect(), key=lambda r: r["range"]):
+        before[r["range"]], at = at, at + r["count"]
+    if not before:
+        return ranged.select("source", "source_size", F.lit(0.0).alias("target"))
+    base = F.create_map(*[F.lit(x) for kv in before.items() for x in kv])
+    place = F.row_number().over(W.partitionBy("range").orderBy(F.col("source").asc_nulls_last())) - 1 + base[F.col("range")]
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(place, F.lit(len(weights))) + 1).cast("int"))
+    table = materialise(ranged.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * epochs).cast("double").alias("bound")), "sources")
+    total, bounds = table.agg(F.sum("source_size"), F.sum("bound")).first()
+    # who is above its bound at one unit stays so at the next, larger one
+    left, unit, shut = min(budget * total, bounds), 0.0, -1
+    while True:
+        over = F.col("bound") < F.col("weight") * F.lit(unit)
+        r = table.agg(F.coalesce(F.sum(F.when(over, F.col("bound"))), F.lit(0.0)).alias("b"), F.coalesce(F.sum(F.when(~over, F.col("weight"))), F.lit(0.0)).alias("w"), F.count(F.when(over, 1)).alias("n")).first()
+        if r["n"] == shut or not r["w"]:
+            return table.select("source", "source_size", F.when(over, F.col("bound")).otherwise(F.lit(unit) * F.col("weight")).alias("target"))
+        unit, shut = (left - r["b"]) / r["w"], r["n"]
+
+
 def mix(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
-    """Row by row: doc_id, source, size, source_size, target, taken (words), copies (times taken).
+    """Row by row: doc_id, source, size, source_size, target, taken (words), copies (times taken), h, before.
 
-    The number of sources is taken to be small (their sums go to the driver); the rows of a source
-    are not. Rows without words are never taken. Repeated rows are documents of their own; null
-    sources form one, the last. Reruns agree: the order is a hash of the row's own values, and rows
-    that agree in all of doc_id, source, text size and text are exchangeable. Empty input: no rows.
+    All documents, each as often as it may be taken, are sorted into ranges of their finish time; ranges
+    count until the words reach the budget, and the one where they do is cut inside. Rows without words
+    are never taken. Repeated rows are documents of their own; null sources form one, the last. Reruns
+    agree: the order is a hash (h) of doc_id, source and text, and rows that agree in these are
+    exchangeable. Sources may be few or many, and hold all rows or one. Empty input: no rows.
     """
     spark = docs.sparkSession
-    rows = count_words(docs).withColumn("h", F.xxhash64("doc_id", "source", "size", F.lit(seed)))
-    rows = materialise(rows, "sizes")
-    totals = [(r["source"], r["n"], r["rows"]) for r in rows.groupBy("source").agg(F.sum("size").alias("n"), F.count(F.lit(1)).alias("rows")).collect()]
-    goal = targets([(s, n) for s, n, _ in totals], weights, budget, epochs)
-    if not sum(n for _, n, _ in totals):
-        return rows.select("doc_id", "source", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).cast("long").alias("taken"), F.lit(0).alias("copies"), F.lit(0).cast("long").alias("before"))
-    n_buckets = max(1, max(r for _, _, r in totals) // ROWS_PER_BUCKET)
-    table = spark.createDataFrame([(s, n, float(goal[s])) for s, n, _ in totals], "_source string, source_size long, target double")
-    rows = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
+    rows = materialise(count_words(docs, seed), "sizes")
+    sizes = materialise(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")), "sources")
+    n_sources, total, n_rows, most = sizes.agg(F.count(F.lit(1)), F.sum("source_size"), F.sum("rows"), F.max("rows")).first()
+    if not total:
+        none = F.lit(0).cast("long")
+        return rows.select("doc_id", "source", "size", none.alias("source_size"), F.lit(0.0).alias("target"), none.alias("taken"), F.lit(0).alias("copies"), "h", none.alias("before"))
+    if n_sources <= DRIVER_SOURCES:
+        own = [(r["source"], r["source_size"]) for r in sizes.collect()]
+        goal = targets(own, weights, budget, epochs)
+        table = F.broadcast(spark.createDataFrame([(s, n, float(goal[s])) for s, n in own], "_source string, source_size long, target double"))
+        budget_words = round(sum(goal.values()))
+    else:
+        table = materialise(targets_table(sizes, weights, budget, epochs).withColumnRenamed("source", "_source"), "targets")
+        budget_words = round(table.agg(F.sum("target")).first()[0])
+    rows = rows.join(table, F.col("source").eqNullSafe(F.col("_source")), "left").drop("_source")
 
     # Words of the source before each document, in shuffled order.
+    n_buckets = max(partitions(spark), most // ROWS_PER_BUCKET)
     rows = rows.withColumn("bucket", F.floor((F.shiftrightunsigned("h", 33) * n_buckets) / float(1 << 31)).cast("long"))
-    rows = running_total(rows, ["source"], "bucket", [F.col("h"), F.col("doc_id"), F.col("size")], F.col("size"), "before").drop("bucket")
+    rows = running_total(rows, ["source"], "bucket", [F.shiftrightunsigned("h", 33), F.col("h"), F.col("doc_id"), F.col("size")], F.col("size"), "before").drop("bucket")
     # All passes of a document; the finish time is in targets, so the budget ends close to 1.
     queue = rows.filter("size > 0 AND target > 0").withColumn("epoch", F.explode(F.array([F.lit(i) for i in range(epochs)])))
     queue = queue.withColumn("finish", (F.col("epoch") * F.col("source_size") + F.col("before") + F.col("size")) / F.col("target"))
-    budget_words = round(sum(goal.values()))
-    n_slots = max(1, 2 * sum(r for _, _, r in totals) // ROWS_PER_BUCKET)
-    queue = queue.withColumn("slot", F.least(F.floor(F.col("finish") * n_slots), F.lit(2 * n_slots)).cast("long"))
-    order = [F.col("finish"), F.col("h"), F.col("doc_id"), F.col("size")]
-    # Only the slot in which the words reach the budget needs its rows in order.
-    sums = queue.groupBy("slot").agg(F.sum("size").alias("n")).withColumn("upto", F.sum("n").over(W.orderBy("slot")))
-    end = sums.filter(F.col("upto") > budget_words).orderBy("slot").limit(1).collect()
-    if end:
-        last, base = end[0]["slot"], end[0]["upto"] - end[0]["n"]
-        tail = queue.filter(F.col("slot") == last).withColumn("upto", F.sum("size").over(W.partitionBy("slot").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) + base)
-        tail = tail.filter(F.col("upto") <= budget_words).drop("upto")
-        queue = queue.filter(F.col("slot") < last).unionByName(tail)
+    order = [F.col("finish"), F.col("h"), F.col("doc_id"), F.col("size"), F.col("before"), F.col("epoch")]
+    queue = queue.select("doc_id", "source", "size", "h", "before", "epoch", "finish").repartitionByRange(max(partitions(spark), epochs * n_rows // ROWS_PER_BUCKET), *order)
+    queue = materialise(queue.withColumn("range", F.spark_partition_id()), "queue")
+    last, base = None, 0
+    for r in sorted(queue.groupBy("range").agg(F.sum("size").alias("n")).collect(), key=lambda r: r["range"]):
+        last = r["range"]
+        if base + r["n"] > budget_words:
+            break
+        base += r["n"]
+    tail = queue.filter(F.col("range") == last).withColumn("upto", F.sum("size").over(W.partitionBy("range").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) + base)
+    queue = queue.filter(F.col("range") < last).unionByName(tail.filter(F.col("upto") <= budget_words).drop("upto"))
     taken = queue.groupBy("h", "before", F.col("doc_id").alias("_doc"), F.col("source").alias("_source")).agg(F.count(F.lit(1)).cast("int").alias("copies"))
     taken = taken.withColumnsRenamed({"h": "_h", "before": "_before"})
     out = rows.join(taken, (F.col("h") == F.col("_h")) & (F.col("before") == F.col("_before")) & F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("size") > 0), "left")
     copies = F.coalesce("copies", F.lit(0))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), "before")
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * copies).cast("long").alias("taken"), copies.alias("copies"), "h", "before")
 
 
 def sample(docs: DataFrame, weights=WEIGHTS, budget: float = BUDGET, epochs: int = EPOCHS, seed: int = 0) -> DataFrame:
     """The mix itself: rows of ``docs`` with all their columns, each as often as it is taken.
 
-    Rows with the same doc_id, source and text stand in for each other."""
-    extra = [fresh(docs, f"_mix_{x}") for x in ("size", "no", "copies")]
-    size, no, copies = extra
-    plan = mix(docs, weights, budget, epochs, seed)
-    key = W.partitionBy("doc_id", "source", "size")
-    plan = plan.withColumn("no", F.row_number().over(key.orderBy("before", F.desc("copies")))).filter("copies > 0")
-    plan = plan.select(F.col("doc_id").alias("_p_doc"), F.col("source").alias("_p_source"), F.col("size").alias("_p_size"), F.col("no").alias("_p_no"), F.col("copies").alias(copies))
-
-    @F.pandas_udf("long")
-    def words(texts):
-        import pandas as pd
-
-        return pd.Series([len((t or "").encode().split()) for t in texts], dtype="int64")
-
-    marked = docs.withColumn(size, words(F.coalesce(F.col("text"), F.lit(""))))
-    marked = marked.withColumn(no, F.row_number().over(W.partitionBy("doc_id", "source", size).orderBy("text")))
-    out = marked.join(plan, F.col("doc_id").eqNullSafe(F.col("_p_doc")) & F.col("source").eqNullSafe(F.col("_p_source")) & (F.col(size) == F.col("_p_size")) & (F.col(no) == F.col("_p_no")))
-    return out.withColumn(no, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
+    Rows that agree in doc_id, source and text share what is taken of them evenly. Rows without words
+    are never taken, null ids and sources are as in ``mix``. Columns may have any names. Empty input: no rows."""
+    h, no, rows, copies, doc_id, source, other = (fresh(docs, f"_mix_{x}") for x in ("h", "no", "rows", "copies", "id", "source", "other"))
+    plan = mix(docs, weights, budget, epochs, seed).groupBy(F.col("h").alias(other), F.col("doc_id").alias(doc_id), F.col("source").alias(source))
+    plan = plan.agg(F.count(F.lit(1)).alias(rows), F.sum("copies").alias(copies)).filter(F.col(copies) > 0)
+    out = docs.withColumn(h, row_hash(seed)).join(plan, (F.col(h) == F.col(other)) & F.col("doc_id").eqNullSafe(F.col(doc_id)) & F.col("source").eqNullSafe(F.col(source)))
+    # the few rows that agree are numbered, and take their parts in turn
+    out = out.withColumn(no, F.when(F.col(rows) > 1, F.row_number().over(W.partitionBy(h, "doc_id", "source").orderBy(h))).otherwise(1))
+    times = F.floor((F.col(copies) + F.col(rows) - F.col(no)) / F.col(rows)).cast("int")
+    return out.withColumn(copies, F.explode(F.array_repeat(F.lit(1), times))).select(*docs.columns)
 
 
 def op6_mixing(spark, sf_dir: str) -> DataFrame:

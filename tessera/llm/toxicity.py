@@ -38,6 +38,8 @@ MIN_DOCS = 3
 FEATURE_FDR = 0.01
 #: Lengths of word beginnings that are features beside the word itself.
 PREFIXES = (4, 5, 6, 7, 8)
+#: Features counted in a worker's memory before their counts go on.
+COUNTED = 100_000
 FLAGGED = 0.3
 _WORD = re.compile(r"[^\W_]+")
 
@@ -60,14 +62,25 @@ def _feature_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for part, texts in slices(batches):
         for text, label in zip(texts, part.column("label").to_pylist(), strict=True):
             both[label].update({f for w in _words(text.decode("utf-8", "replace")) for f in features(w)})
+        if len(both[0]) + len(both[1]) > COUNTED:
+            yield _counted(both)
+            both = (Counter(), Counter())
+    yield _counted(both)
+
+
+def _counted(both: tuple[Counter, Counter]) -> pa.RecordBatch:
     names = list(both[0].keys() | both[1].keys())
-    for at in range(0, len(names), 50_000):
-        some = names[at : at + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(some, type=pa.string()), pa.array([both[0][x] for x in some], type=pa.int64()), pa.array([both[1][x] for x in some], type=pa.int64())], names=["feature", "n0", "n1"])
+    n = [pa.array([c[x] for x in names], type=pa.int64()) for c in both]
+    return pa.RecordBatch.from_arrays([pa.array(names, type=pa.string()), *n], names=["feature", "n0", "n1"])
 
 
 class Lexicon:
-    """Maps texts to sorted positions of known features; words met before are looked up."""
+    """Maps texts to sorted positions of known features; words met before are looked up.
+
+    The words kept are bounded by number and length, and go with the task."""
+
+    #: Words kept at most, and characters of each.
+    WORDS, CHARS = 100_000, 40
 
     def __init__(self, names: list[str], families: Iterable[tuple[str, ...]]):
         self.at = {x: i for i, x in enumerate(names)}
@@ -78,7 +91,7 @@ class Lexicon:
         got = self.seen.get(w)
         if got is None:
             got = tuple(i for i in (self.at.get(f) for f in features(w)) if i is not None)
-            if len(self.seen) < 500_000:
+            if len(self.seen) < self.WORDS and len(w) <= self.CHARS:
                 self.seen[w] = got
         return got
 
@@ -169,6 +182,11 @@ def train(docs: DataFrame, labels: DataFrame, families: Iterable[tuple[str, ...]
     return names, w, b
 
 
+def _probabilities(texts: list[bytes], lexicon: Lexicon, w: np.ndarray, b: float) -> np.ndarray:
+    z = np.array([b + w[lexicon.of(_words(t.decode("utf-8", "replace")))].sum() for t in texts])
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
 def score(docs: DataFrame, model: tuple[list[str], np.ndarray, float], flagged: float = FLAGGED) -> DataFrame:
     """doc_id, score, predicted of every row; null and empty texts get the score of no features.
 
@@ -179,26 +197,25 @@ def score(docs: DataFrame, model: tuple[list[str], np.ndarray, float], flagged:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(names, ())
         for part, texts in slices(batches):
-            z = np.array([b + w[lexicon.of(_words(t.decode("utf-8", "replace")))].sum() for t in texts])
-            p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+            p = _probabilities(texts, lexicon, w, b)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(p), pa.array((p >= flagged).astype(np.int32))], names=["doc_id", "score", "predicted"])
 
     return one_text(docs).mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, score double, predicted int")
 
 
 def reject(docs: DataFrame, labels: DataFrame, flagged: float = FLAGGED) -> DataFrame:
-    """The rows of ``docs`` that aren't flagged, with all their columns. Scored in place, without a join."""
-    names, w, b = train(docs, labels)
+    """The rows of ``docs`` that aren't flagged, with all their columns. Scored in place, without a join.
 
-    @F.pandas_udf("boolean")
-    def clean(texts):
-        import pandas as pd
+    Null and empty texts score as in ``score``; repeated rows and null ids stay or go by their texts.
+    Columns may have any names. Empty input: no rows."""
+    names, w, b = train(docs, labels)
 
+    def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(names, ())
-        z = [b + w[lexicon.of(_words(t or ""))].sum() for t in texts]
-        return pd.Series([1 / (1 + np.exp(-min(max(x, -30), 30))) < flagged for x in z])
+        for part, texts in slices(batches):
+            yield part.filter(pa.array([p < flagged for p in _probabilities(texts, lexicon, w, b)], type=pa.bool_()))
 
-    return docs.filter(clean(F.coalesce(F.col("text"), F.lit(""))))
+    return docs.mapInArrow(clean, docs.schema)
 
 
 def op9_toxicity(spark, sf_dir: str) -> DataFrame:
