@@ -19,8 +19,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh3_64_intdigest
 
-from tessera.llm._common import materialise, one_text, read, running_total, slices
+from tessera.llm._common import materialise, one_text, partitions, read, running_total, slices
 from tessera.llm._tokens import DEFAULT, Encoder
 
 CAPACITY = 1024
@@ -204,6 +205,10 @@ def places(runs: list[tuple[int, list[tuple[int, int]]]]) -> np.ndarray:
     return np.array(sorted(lines), dtype=np.int64).reshape(-1, 5)
 
 
+def _key(text: bytes) -> int:
+    return xxh3_64_intdigest(text) - (1 << 63)
+
+
 def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str = DEFAULT) -> DataFrame:
     """doc_id, key, piece, start, length, ids_crc32: the documents' ids cut to the capacity.
 
@@ -216,7 +221,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
             for doc_id, text, ids in zip(part.column("doc_id").to_pylist(), texts, encoder.encode([t.decode("utf-8", "replace") for t in texts]), strict=True):
                 ids += tail
                 for i, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    for column, x in zip(out, (doc_id, zlib.crc32(text), i, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])), strict=True):
+                    for column, x in zip(out, (doc_id, _key(text), i, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)])), strict=True):
                         column.append(x)
             kinds = [part.schema.field("doc_id").type, pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds, strict=True)], names=["doc_id", "key", "piece", "start", "length", "ids_crc32"])
@@ -225,7 +230,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str = DEFAULT) -> DataFrame:
-    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
+    """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, key (the text's hash).
 
     Null and empty texts are the end id alone. Repeated rows are packed one by one. Columns other
     than doc_id and text play no part. Empty input: no rows. The counts of lengths and the plan go
@@ -235,7 +240,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
     counts = {r["length"]: r["count"] for r in cut_up.groupBy("length").count().collect()}
     lines = places(plan(counts, capacity))
     # Rank of each piece among those of its length; hashed buckets split a length that many share.
-    n_buckets = max(1, max(counts.values(), default=0) // ROWS_PER_BUCKET)
+    n_buckets = max(partitions(docs.sparkSession), max(counts.values(), default=0) // ROWS_PER_BUCKET)
     ranked = cut_up.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "key", "piece"), F.lit(n_buckets)).cast("int"))
     ranked = running_total(ranked, ["length"], "bucket", [F.col("doc_id"), F.col("key"), F.col("piece")], F.lit(1), "rank")
 
@@ -245,28 +250,32 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path:
             size, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
             at = np.searchsorted(keys, size * (1 << 50) + rank, side="right") - 1
             seen, nth = np.divmod(rank - lines[at, 1], lines[at, 3])
-            cols = [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(lines[at, 2] + seen), pa.array(lines[at, 4] + nth * size)]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+            cols = [*(batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")), pa.array(lines[at, 2] + seen), pa.array(lines[at, 4] + nth * size), batch.column("key")]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "key"])
 
-    return ranked.drop("bucket", "key").mapInArrow(place, f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.drop("bucket").mapInArrow(place, f"doc_id {dict(docs.dtypes)['doc_id']}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long, key long")
 
 
 def packed_texts(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path: str = DEFAULT) -> DataFrame:
-    """The packed sequences: sequence_id, ids (array, in place), doc_ids. Each fits the capacity."""
+    """The packed sequences: sequence_id, ids (array, in place), doc_ids. Each fits the capacity.
+
+    Rows that repeat a doc_id are told apart by their texts' hash; of rows that agree in both, each has
+    its pieces in the sequences. Null ids are ids like others. Empty input: no rows."""
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = Encoder.of(path), end_id.to_bytes(4, "little")
         for part, texts in slices(batches):
             values = [np.frombuffer(x + tail, "<u4").astype(np.int32) for x in encoder.encode([t.decode("utf-8", "replace") for t in texts])]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(values, type=pa.list_(pa.int32()))], names=["doc_id", "all_ids"])
+            keys = pa.array(map(_key, texts), type=pa.int64())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, pa.array(values, type=pa.list_(pa.int32()))], names=["_doc", "_key", "all_ids"])
 
     kind = dict(docs.dtypes)["doc_id"]
-    tokens = one_text(docs).mapInArrow(ids, f"doc_id {kind}, all_ids array<int>")
-    joined = pack(docs, capacity, end_id, path).join(tokens.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))
+    tokens = one_text(docs).mapInArrow(ids, f"_doc {kind}, _key long, all_ids array<int>").dropDuplicates(["_doc", "_key"])
+    joined = pack(docs, capacity, end_id, path).join(tokens, (F.col("key") == F.col("_key")) & F.col("doc_id").eqNullSafe(F.col("_doc")))
     part = F.struct("offset", F.expr("slice(all_ids, cast(start + 1 AS int), cast(length AS int))").alias("ids"), "doc_id")
     parts = joined.groupBy("sequence_id").agg(F.sort_array(F.collect_list(part)).alias("parts"))
     return parts.select("sequence_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), F.transform("parts", lambda p: p["doc_id"]).alias("doc_ids"))
 
 
 def op2_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(read(spark, sf_dir, "documents"))
+    return pack(read(spark, sf_dir, "documents")).drop("key")
