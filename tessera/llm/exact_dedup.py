@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.llm._common import materialise, partitions, read
+from tessera.llm._common import fresh, materialise, partitions, read
 
 #: Characters of the text in the range key; the digest orders what shares them.
 PREFIX = 32
@@ -88,16 +88,17 @@ def content_sort(docs: DataFrame, normalise: Callable[[Column], Column] = identi
 
 def deduplicate(docs: DataFrame, normalise: Callable[[Column], Column] = identity, keep: str = "min") -> DataFrame:
     """The rows of ``docs`` that stay, all their columns; of repeated rows with one doc_id one stays."""
-    kept = content_sort(docs, normalise, keep).filter("kept").select(F.col("doc_id").alias("_keep"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_own", F.sha2(normalise(F.coalesce(F.col("text"), F.lit(""))), 256))
-    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_keep")) & (F.col("_own") == F.col("_sha")), "left_semi")
+    own, keep_id, sha, twice_id = (fresh(docs, f"_exact_{x}") for x in ("own", "id", "sha", "twice"))
+    kept = content_sort(docs, normalise, keep).filter("kept").select(F.col("doc_id").alias(keep_id), F.col("text_sha256").alias(sha))
+    marked = docs.withColumn(own, F.sha2(normalise(F.coalesce(F.col("text"), F.lit(""))), 256))
+    out = marked.join(kept, F.col("doc_id").eqNullSafe(F.col(keep_id)) & (F.col(own) == F.col(sha)), "left_semi")
     # Rows that share doc_id and text would all pass: number them only where that happens.
-    twice = materialise(out.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_twice")), "twice")
+    twice = materialise(out.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(twice_id)), "twice")
     if twice.isEmpty():
-        return out.drop("_own")
-    single = out.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_anti")
-    several = out.join(twice, F.col("doc_id").eqNullSafe(F.col("_twice")), "left_semi").dropDuplicates(["doc_id", "_own"])
-    return single.unionByName(several).drop("_own")
+        return out.drop(own)
+    same = F.col("doc_id").eqNullSafe(F.col(twice_id))
+    several = out.join(twice, same, "left_semi").dropDuplicates(["doc_id", own])
+    return out.join(twice, same, "left_anti").unionByName(several).drop(own)
 
 
 def op10_exact_dedup(spark, sf_dir: str) -> DataFrame:
