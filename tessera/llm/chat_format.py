@@ -16,12 +16,12 @@ from tessera.llm._common import read
 
 #: Template of a turn: OPEN role MID text END CLOSE. These four are the control strings.
 OPEN, MID, END, CLOSE = "<s>", "[INST]", "[/INST]", "</s>"
-_CONTROL = r"(<|\[)(?=s>|/s>|INST\]|/INST\])"
+_CONTROL = r"(<)(?=/?s>)|(\[)(?=/?INST\])"
 
 
 def escape(text: Column) -> Column:
     """Doubles backslashes and puts one behind the first character of a control string."""
-    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(_CONTROL), F.lit("$1\\\\"))
+    return F.regexp_replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit(_CONTROL), F.lit("$1$2\\\\"))
 
 
 def unescape(text: Column) -> Column:
@@ -73,15 +73,23 @@ def expand(turns: DataFrame) -> DataFrame:
 
 
 def read_back(turns: DataFrame) -> DataFrame:
-    """Per conversation, from the formatted text and the loss spans alone: turns, replies and counts."""
-    spans = F.sort_array(F.collect_list(F.when(F.col("loss_start").isNotNull(), F.struct("loss_start", "loss_end"))))
-    parts = F.sort_array(F.collect_list(F.struct("turn_no", "piece")))
-    per = turns.groupBy("conv_id").agg(F.concat_ws("", F.transform(parts, lambda p: p["piece"])).alias("formatted"), spans.alias("spans"))
+    """Per conversation, from the formatted text and the examples alone: formatted, turns, examples.
+
+    ``turns`` are parsed from the template. ``examples`` are the rows of ``prefix_targets`` in order, each
+    with the text under its loss mask, cut out of the example's own prefix of the conversation."""
+    example = F.struct("turn_no", "text_end", "loss_start", "loss_end")
+    targets = prefix_targets(turns).groupBy(F.col("conv_id").alias("_conv")).agg(F.sort_array(F.collect_list(example)).alias("targets"))
+    per = conversations_text(turns).join(targets, F.col("conv_id").eqNullSafe(F.col("_conv")), "left")
     pieces = F.filter(F.split("formatted", CLOSE), lambda p: p != "")
     inner = lambda p: F.substr(p, F.lit(len(OPEN) + 1), F.length(p) - len(OPEN) - len(END))
     turn = lambda p: F.struct(unescape(F.substring_index(inner(p), MID, 1)).alias("role"), unescape(F.substr(inner(p), F.length(F.substring_index(inner(p), MID, 1)) + len(MID) + 1)).alias("text"))
-    cut = lambda s: unescape(F.substr(F.col("formatted"), (s["loss_start"] + 1).cast("int"), (s["loss_end"] - s["loss_start"]).cast("int")))
-    return per.select("conv_id", "formatted", F.transform(pieces, turn).alias("turns"), F.transform("spans", cut).alias("replies"), "spans")
+    prefix = lambda e: F.substr(F.col("formatted"), F.lit(1), e["text_end"].cast("int"))
+    cut = lambda e: unescape(F.substr(prefix(e), (e["loss_start"] + 1).cast("int"), (e["loss_end"] - e["loss_start"]).cast("int")))
+    examples = F.transform(F.coalesce("targets", F.array().cast(EXAMPLES)), lambda e: F.struct(e["turn_no"].alias("turn_no"), e["text_end"].alias("text_end"), cut(e).alias("reply")))
+    return per.select("conv_id", "formatted", F.transform(pieces, turn).alias("turns"), examples.alias("examples"))
+
+
+EXAMPLES = "array<struct<turn_no:int,text_end:bigint,loss_start:bigint,loss_end:bigint>>"
 
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
@@ -90,11 +98,11 @@ def op4_chat_format(spark, sf_dir: str) -> DataFrame:
     more = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(said).alias("text"))
     back = read_back(format_turns(own.unionByName(more)))
     lines = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))))
-    loss = F.concat_ws("", "replies")
-    ends = F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["loss_end"] + len(END + CLOSE))
+    loss = F.concat_ws("", "examples.reply")
+    ends = F.aggregate("examples", F.lit(0).cast("long"), lambda a, e: a + e["text_end"])
     return back.select(
         "conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(lines, 256).alias("turns_sha256"), F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("replies").cast("long").alias("n_examples"), ends.alias("expanded_chars"),
+        F.sha2(loss, 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"), F.size("examples").cast("long").alias("n_examples"), ends.alias("expanded_chars"),
     )
 
 

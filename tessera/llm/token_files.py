@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -33,8 +33,8 @@ _HEAD = struct.Struct("<4sHHQ")  # magic, version, bytes per id, records
 _LINE = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("length", "<u8"), ("n_ids", "<u4")])
 #: What a masked checksum adds.
 MASK = 0xA282EAD8
-#: Documents in a shard, about; bounds what one task sorts and writes.
-DOCS_PER_SHARD = 8_000
+#: Text bytes in a shard, about; bounds what one task sorts and writes.
+SHARD_BYTES = 16 << 20
 
 
 def masked(data: bytes) -> int:
@@ -129,15 +129,11 @@ def write(docs: DataFrame, root: str, end_id: int | None = 0, path: str = DEFAUL
     """
     spark = docs.sparkSession
     rows = one_text(docs).withColumn("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))))
-    n = rows.count()
-    n_shards = max(1, min(n, max(partitions(spark), -(-n // DOCS_PER_SHARD))))
-    # Splitters from the ids alone: the texts are read once.
-    probs = [i / n_shards for i in range(1, n_shards)]
-    cuts = sorted(set(rows.select(F.percentile_approx("doc_id", probs, 100_000)).first()[0] or [])) if probs and n else []
-    # Binary search in the splitters, JVM-side: how many of them are below the id.
-    edges = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else None
-    rows = rows.withColumn("shard", _below(edges, len(cuts)) if cuts else F.lit(0))
-    rows = rows.repartitionById(len(cuts) + 1, F.col("shard")).sortWithinPartitions("shard", "doc_id", F.xxhash64("text"))
+    size = rows.agg(F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 16)).first()[0] or 0
+    # A shard is a range of (doc_id, text hash), cut by Spark's sampled splitters; its number is the partition's.
+    order = [F.col("doc_id"), F.xxhash64("text")]
+    n_shards = max(partitions(spark), -(-size // SHARD_BYTES))
+    rows = rows.repartitionByRange(n_shards, *order).sortWithinPartitions(*order).withColumn("shard", F.spark_partition_id())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder.of(path)
@@ -166,13 +162,6 @@ def _ids(batches: Iterator[pa.RecordBatch], encoder: Encoder, tail: bytes) -> It
         yield from ((s, d, x + tail) for s, d, x in zip(part.column("shard").to_pylist(), part.column("doc_id").to_pylist(), ids, strict=True))
 
 
-def _below(edges: Column, n: int) -> Column:
-    """Number of sorted ``edges`` below doc_id: bisection as a fold over halving steps, so the expression stays small."""
-    steps = F.array(*[F.lit(1 << b) for b in reversed(range(n.bit_length()))])
-    taken = lambda low, step: (low + step <= n) & (F.get(edges, low + step - 1) < F.col("doc_id"))
-    return F.aggregate(steps, F.lit(0), lambda low, step: F.when(taken(low, step), low + step).otherwise(low)).cast("int")
-
-
 def read_back(manifest: DataFrame, root: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every record, from the files. ``start`` counts the ids of
     all records before. The running sum covers shards, not documents."""

@@ -174,7 +174,8 @@ def test_chat(spark):
     out = chat_format.format_turns(df)
     back = {r["conv_id"]: r for r in chat_format.read_back(out).collect()}
     assert [(t["role"], t["text"]) for t in back[1]["turns"]] == [(r, x or "") for c, _, r, x in turns if c == 1]
-    assert back[1]["replies"] == [bad + "!", "two"] and back[2]["replies"] == [""] and not back[3]["replies"]
+    replies = {c: [e["reply"] for e in r["examples"]] for c, r in back.items()}
+    assert replies[1] == [bad + "!", "two"] and replies[2] == [""] and not replies[3]
     assert len(back[3]["turns"]) == 2 and (back[4]["turns"][0]["role"]) == "assist</s>ant\n" and back[None]["turns"][0]["text"] == ""
     examples = chat_format.expand(out).orderBy("conv_id", "turn_no").collect()
     assert len(examples) == 3
@@ -182,7 +183,19 @@ def test_chat(spark):
     for e in examples:
         assert whole[e["conv_id"]].startswith(e["text"]) and e["text"].endswith(chat_format.END + chat_format.CLOSE)
         assert e["text"][e["loss_end"] :] == chat_format.END + chat_format.CLOSE
-    assert chat_format.format_turns(df.limit(0)).count() == 0
+    assert chat_format.format_turns(df.limit(0)).count() == 0 and chat_format.read_back(chat_format.format_turns(df.limit(0))).count() == 0
+
+
+def test_chat_escapes_control_strings_alone(spark):
+    near = "a [s> b <INST] c </INST] [/s> < s> [inst]"
+    long = "".join(random.Random(1).choice([near, "<s>", "[/INST]", "\\", "x" * 50, "\n"]) for _ in range(20_000))
+    turns = [(1, 0, "user", near), (2, 0, "user", long), (2, 1, "assistant", long), (2, 1, "assistant", long)]
+    out = chat_format.format_turns(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"))
+    back = {r["conv_id"]: r for r in chat_format.read_back(out).collect()}
+    assert back[1]["formatted"] == "<s>user[INST]" + near + "[/INST]</s>"
+    marks = len(re.findall(r"\\|<s>|</s>|\[INST\]|\[/INST\]", long))
+    assert len(back[2]["formatted"]) == 3 * (len(long) + marks + 20) + len("userassistantassistant")
+    assert [e["reply"] for e in back[2]["examples"]] == [long, long] and [t["text"] for t in back[2]["turns"]] == [long] * 3
 
 
 def test_secrets(spark):
