@@ -131,26 +131,41 @@ def test_plan_packs_every_length(seed):
     assert sum(t for t, _ in runs) <= 1.01 * plain.sequences() + 2
 
 
-def test_lm_scores(spark, rows, docs):
+@pytest.mark.parametrize("min_count", [1, 2])
+@pytest.mark.parametrize("kind", ["long", "int", "string"])
+def test_lm_scores(spark, rows, docs, min_count, kind):
     words = [[w.decode() for w in (x or "").encode().lower().split()] for _, x, _ in rows]
     uni, bi = Counter(w for d in words for w in d), Counter(p for d in words for p in zip(d, d[1:], strict=False))
     total = sum(uni.values())
-    out = {(r["doc_id"], r["n_words"]): r for r in lm_scoring.score(docs).collect()}
+    cast = {"long": int, "int": int, "string": str}[kind]
+    out = {(r["doc_id"], r["n_words"]): r for r in lm_scoring.score(docs.withColumn("doc_id", F.col("doc_id").cast(kind)), min_count=min_count).collect()}
     for (i, _, _), d in zip(rows, words, strict=True):
         s = np.log(uni[d[0]] / total) if d else 0.0
         for v, w in zip(d, d[1:], strict=False):
-            s += np.log(bi[v, w] / uni[v]) if bi[v, w] >= 2 else np.log(0.4 * uni[w] / total)
-        r = out[i, len(d)]
-        assert r["log_score"] == pytest.approx(s)
+            s += np.log(bi[v, w] / uni[v]) if bi[v, w] >= min_count else np.log(0.4 * uni[w] / total)
+        r = out[None if i is None else cast(i), len(d)]
+        assert r["log_score"] == pytest.approx(s) and r["n_seen"] == sum(bi[p] >= 2 for p in zip(d, d[1:], strict=False))
         assert (r["mean_log_score"] is None) == (not d)
 
 
+def test_lm_scores_with_and_without_very_frequent_words(spark, monkeypatch):
+    """The counts that all executors hold, and those that only one partition has, agree with the rest."""
+    r = random.Random(4)
+    rows = [(i, " ".join(r.choice(["the", "of", "a", f"w{r.randrange(40)}", f"x{i}y{j}"]) for j in range(30)), None) for i in range(60)] + [(99, "the of a the of a", None), (98, "of", None)]
+    docs = make(spark, rows)
+    want = {x["doc_id"]: (x["n_seen"], round(x["log_score"], 6)) for x in lm_scoring.score(docs, min_count=2, order=2).collect()}
+    for hot, held in ((2.0, 1 << 19), (1 / 20, 3), (1e-9, 1 << 19), (1 / 20, 1)):
+        monkeypatch.setattr(lm_scoring, "HOT", hot)
+        monkeypatch.setattr(lm_scoring, "TABLE_WORDS", held)
+        assert {x["doc_id"]: (x["n_seen"], round(x["log_score"], 6)) for x in lm_scoring.score(docs, min_count=2).collect()} == want
+
+
 @pytest.mark.parametrize("order", [3, 4])
 def test_lm_scores_of_higher_orders(spark, rows, docs, order):
     words = [[w.decode() for w in (x or "").encode().lower().split()] for _, x, _ in rows]
     count = Counter(tuple(d[i : i + k]) for d in words for k in range(1, order + 1) for i in range(len(d) - k + 1))
     total = sum(map(len, words))
-    out = {(r["doc_id"], r["n_words"]): r for r in lm_scoring.score(docs, order=order).collect()}
+    out = {(r["doc_id"], r["n_words"]): r for r in lm_scoring.score(docs, order=order, min_count=2).collect()}
     assert lm_scoring.score(docs, order=order).count() == len(rows) and lm_scoring.score(docs.limit(0), order=order).count() == 0
     longest = Counter()
     for (i, _, _), d in zip(rows, words, strict=True):
