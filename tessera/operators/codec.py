@@ -1,11 +1,13 @@
 """Entropy codecs and the pair grammar: the parts that run symbol by symbol.
 
-A group is one chunk of a tensor, so its size is bounded whatever the tensor's. Frequency tables are
-made from SQL counts and travel with the group.
+What runs in one call is a chunk of a tensor, so its size is bounded whatever the tensor's. Frequency
+tables are made from SQL counts, rules from a representative chunk; both travel with the chunks.
 """
 
 from __future__ import annotations
 
+import hashlib
+import struct
 from collections import Counter
 
 import numpy as np
@@ -13,7 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tessera.functions.bits import safe_div
 from tessera.operators.symbols import table_log
+from tessera.plans.scratch import materialise
 
 SCALE_BITS, LANES, LOW = 12, 256, 1 << 23
 M = 1 << SCALE_BITS
@@ -126,40 +130,52 @@ def tans_decode(n: int, x: int, bits: list[int], freq: np.ndarray, table) -> lis
     return out
 
 
-def grammar(tokens: list[int], max_rules: int = 50) -> tuple[list[int], list[tuple[int, int, int, int]]]:
+def grammar(tokens, max_rules: int = 50) -> tuple[np.ndarray, list[tuple[int, int, int, int]]]:
     """Greedy pairs: the most frequent neighbours (ties: the smaller pair) become a new symbol.
     Stops below two occurrences or when nothing shrinks. Rules: (symbol, left, right, count)."""
-    rules = []
+    tokens, rules = np.asarray(tokens, dtype=np.int64), []
     for i in range(max_rules):
-        seen = Counter(zip(tokens, tokens[1:], strict=False))
-        if not seen:
+        if len(tokens) < 2:
             break
-        (a, b), n = min(seen.items(), key=lambda x: (-x[1], x[0]))
-        if n < 2:
+        names, codes = np.unique(tokens, return_inverse=True)
+        pairs, n = np.unique(codes[:-1] * len(names) + codes[1:], return_counts=True)
+        at = int(n.argmax())  # names ascend, so the first of the most frequent is the smallest pair
+        a, b = int(names[pairs[at] // len(names)]), int(names[pairs[at] % len(names)])
+        if n[at] < 2:
             break
         new = replace(tokens, a, b, -1 - i)
         if len(new) >= len(tokens):
             break
         tokens = new
-        rules.append((-1 - i, a, b, n))
+        rules.append((-1 - i, a, b, int(n[at])))
     return tokens, rules
 
 
-def replace(tokens: list[int], a: int, b: int, by: int) -> list[int]:
-    out, i = [], 0
-    while i < len(tokens):
-        if i + 1 < len(tokens) and tokens[i] == a and tokens[i + 1] == b:
-            out.append(by)
-            i += 2
-        else:
-            out.append(tokens[i])
-            i += 1
-    return out
+def replace(tokens, a: int, b: int, by: int) -> np.ndarray:
+    """Pairs (a, b) from the left, without overlap, become ``by``."""
+    tokens = np.asarray(tokens, dtype=np.int64)
+    at = np.flatnonzero((tokens[:-1] == a) & (tokens[1:] == b)) if len(tokens) > 1 else np.zeros(0, dtype=np.int64)
+    if a == b and len(at):  # in a run, every other one
+        start = np.flatnonzero(np.diff(at, prepend=at[0] - 2) != 1)
+        at = at[(np.arange(len(at)) - np.repeat(start, np.diff(start, append=len(at)))) % 2 == 0]
+    out = tokens.copy()
+    out[at] = by
+    return np.delete(out, at + 1)
+
 
+def apply_rules(tokens, rules: list[tuple[int, int, int, int]]) -> np.ndarray:
+    for r, a, b, _ in rules:
+        tokens = replace(tokens, a, b, r)
+    return np.asarray(tokens, dtype=np.int64)
 
-def expand(tokens: list[int], rules: list[tuple[int, int, int, int]]) -> list[int]:
+
+def expand(tokens, rules: list[tuple[int, int, int, int]]) -> np.ndarray:
+    tokens = np.asarray(tokens, dtype=np.int64)
     for r, a, b, _ in reversed(rules):
-        tokens = [y for t in tokens for y in ((a, b) if t == r else (t,))]
+        hit = tokens == r
+        first = np.flatnonzero(np.repeat(hit, 1 + hit)) if hit.any() else np.zeros(0, dtype=np.int64)
+        tokens = np.repeat(tokens, 1 + hit)
+        tokens[first[0::2]], tokens[first[1::2]] = a, b
     return tokens
 
 
@@ -171,6 +187,80 @@ def tans_code(codes: np.ndarray, freq: np.ndarray) -> tuple[int, int]:
     return len(bits), int((np.array(back, dtype=np.int64) != codes).sum())
 
 
+def tans_chunk(codes: np.ndarray, freq: np.ndarray, table) -> bytes:
+    """A chunk on the wire: symbols (u32), final state (i64), bits (i64), words (u32), then 64-bit words.
+    Raises if it doesn't decode to what it was made of."""
+    x, bits = tans_encode(codes.tolist(), freq, table)
+    packed = np.packbits(np.array([*bits, *[0] * (-len(bits) % 64)], dtype=np.uint8), bitorder="little")
+    out = struct.pack("<IqqI", len(codes), x, len(bits), len(packed) // 8) + packed.tobytes()
+    if not np.array_equal(tans_unchunk(out, freq, table)[0], codes):
+        raise ValueError("a chunk doesn't decode to its symbols")
+    return out
+
+
+_CHUNK = struct.Struct("<IqqI")
+
+
+def tans_unchunk(raw: bytes, freq: np.ndarray, table, at: int = 0) -> tuple[np.ndarray, int]:
+    """Symbols of the chunk at ``at``, and where the next one begins."""
+    n, x, n_bits, n_words = _CHUNK.unpack_from(raw, at)
+    at += _CHUNK.size
+    bits = np.unpackbits(np.frombuffer(raw, np.uint8, 8 * n_words, at), bitorder="little")[:n_bits]
+    return np.array(tans_decode(n, x, bits.tolist(), freq, table), dtype=np.int64), at + 8 * n_words
+
+
+#: Symbols in a chunk.
+CHUNK_SYMBOLS = 2_000_000
+
+
+def tans_streams(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(streams: cluster, tensor_id, chunk, n, data; tables: cluster, words, freq) of rows (cluster, tensor_id,
+    pos, word): whole words under the table of their cluster. A tensor's stream is the number of its chunks
+    (u32) and their data in order. Clusters with more than MAX_VOCABULARY words raise."""
+    tables = materialise(vocabularies(t), "tables")
+    rows = _gathered(t.withColumn("chunk", F.floor(F.col("pos") / CHUNK_SYMBOLS)), "cluster", "tensor_id", "chunk")
+    rows = rows.join(tables.withColumnRenamed("cluster", "_c"), F.col("cluster").eqNullSafe(F.col("_c")), "left")
+    rows = rows.filter(F.when(F.col("words").isNull(), F.raise_error(F.lit("too many symbols for a table")).cast("boolean")).otherwise(True)).drop("_c")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                freq = np.asarray(r.freq, dtype=np.int64)
+                codes = np.searchsorted(np.asarray(r.words, dtype=np.int64), np.asarray(r.word, dtype=np.int64))
+                out.append((r.cluster, r.tensor_id, r.chunk, len(codes), tans_chunk(codes, freq, tans_table(freq))))
+            yield pd.DataFrame(out, columns=["cluster", "tensor_id", "chunk", "n", "data"])
+
+    return rows.mapInPandas(run, "cluster string, tensor_id string, chunk long, n long, data binary"), tables
+
+
+def tans_words(streams: DataFrame, tables: DataFrame) -> DataFrame:
+    """tensor_id, chunk, words (little-endian bytes) out of streams and tables."""
+    rows = streams.join(tables.withColumnRenamed("cluster", "_c"), F.col("cluster").eqNullSafe(F.col("_c"))).drop("_c")
+
+    def run(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                freq = np.asarray(r.freq, dtype=np.int64)
+                codes, _ = tans_unchunk(r.data, freq, tans_table(freq))
+                out.append((r.tensor_id, r.chunk, np.asarray(r.words, dtype=np.int64)[codes].astype("<u4").tobytes()))
+            yield pd.DataFrame(out, columns=["tensor_id", "chunk", "words"])
+
+    return rows.mapInPandas(run, "tensor_id string, chunk long, words binary")
+
+
+def rans_tables(c: DataFrame) -> DataFrame:
+    """tensor_id, byte, norm_freq, cum_freq, x_max of byte counts (tensor_id, byte, cnt): bytes that occur alone."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        freq = normalise(np.bincount(pdf["byte"], weights=pdf["cnt"], minlength=256))
+        cum, at = np.cumsum(freq) - freq, np.flatnonzero(freq)
+        return pd.DataFrame({"tensor_id": pdf["tensor_id"].iloc[0], "byte": at, "norm_freq": freq[at], "cum_freq": cum[at], "x_max": freq[at] << 19})
+
+    return c.groupBy("tensor_id").applyInPandas(run, "tensor_id string, byte int, norm_freq long, cum_freq long, x_max long")
+
+
 def _masked(words: np.ndarray) -> tuple[np.ndarray, bytes]:
     """The bytes of the upper halves, and the lower halves as they are."""
     raw = np.ascontiguousarray(words.astype("<u4")).view(np.uint8).reshape(-1, 4)
@@ -187,7 +277,7 @@ def roundtrip(bytes_: DataFrame) -> DataFrame:
         high, _ = _masked(words)
         freq = normalise(np.bincount(high, minlength=256))
         state, lanes = rans_encode(high, freq)
-        size = sum(map(len, lanes)) + 4 * LANES
+        size = sum(map(len, lanes))
         wrong = int((rans_decode(len(high), state, lanes, freq) != high).sum())
         names, codes = np.unique(words, return_inverse=True)
         log, plain = table_log(len(names)), len(names) > MAX_VOCABULARY
@@ -199,17 +289,18 @@ def roundtrip(bytes_: DataFrame) -> DataFrame:
 
 def anchors(t: DataFrame) -> DataFrame:
     """Per cluster of rows (cluster, tensor_id, word): its first tensor and that one's rANS table over the
-    masked bytes, with the full alphabet, so that any other tensor of the cluster can be coded with it."""
-    first = t.groupBy("cluster").agg(F.min("tensor_id").alias("anchor"))
-    own = t.join(first.select(F.col("cluster").alias("_c"), "anchor"), F.col("cluster").eqNullSafe(F.col("_c")) & (F.col("tensor_id") == F.col("anchor")))
+    masked bytes. In clusters of several tensors it has the full alphabet, so that any other tensor can be
+    coded with it; a tensor alone needs only the bytes that occur."""
+    first = t.groupBy("cluster").agg(F.min("tensor_id").alias("anchor"), (F.max("tensor_id") != F.min("tensor_id")).alias("several"))
+    own = t.join(first.select(F.col("cluster").alias("_c"), "anchor", "several"), F.col("cluster").eqNullSafe(F.col("_c")) & (F.col("tensor_id") == F.col("anchor")))
     byte = F.explode(F.array(*[F.shiftright("word", k).bitwiseAND(255).cast("int") for k in (16, 24)]))
-    hist = own.select("cluster", "anchor", byte.alias("byte")).groupBy("cluster", "anchor", "byte").agg(F.count(F.lit(1)).alias("cnt"))
+    hist = own.select("cluster", "anchor", "several", byte.alias("byte")).groupBy("cluster", "anchor", "several", "byte").agg(F.count(F.lit(1)).alias("cnt"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        freq = normalise(np.bincount(pdf["byte"], weights=pdf["cnt"], minlength=256), full=True)
+        freq = normalise(np.bincount(pdf["byte"], weights=pdf["cnt"], minlength=256), full=bool(pdf["several"].iloc[0]))
         return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "anchor": [pdf["anchor"].iloc[0]], "norm_freq": [freq.tolist()]})
 
-    return hist.groupBy("cluster").applyInPandas(run, "cluster string, anchor string, norm_freq array<long>")
+    return hist.groupBy("cluster").applyInPandas(run, "cluster string, anchor string, norm_freq array<long>")  # 256 rows a group
 
 
 def vocabularies(t: DataFrame) -> DataFrame:
@@ -251,7 +342,7 @@ def shared_tables(t: DataFrame) -> DataFrame:
         high, _ = _masked(words)
         freq = np.asarray(r.norm_freq, dtype=np.int64)
         state, lanes = rans_encode(high, freq)
-        size = sum(map(len, lanes)) + 4 * LANES
+        size = sum(map(len, lanes))
         wrong_rans = int((rans_decode(len(high), state, lanes, freq) != high).sum())
         charged = r.tensor_id == r.anchor and r.chunk == r.first
         own_table = 0 if len(names) > MAX_VOCABULARY else 8 * len(names)
@@ -275,7 +366,7 @@ def coded(t: DataFrame) -> DataFrame:
     def one(r) -> tuple:
         high, side = _masked(np.asarray(r.word, dtype=np.int64))
         state, lanes = rans_encode(high, np.asarray(r.norm_freq, dtype=np.int64))
-        plain = sum(map(len, lanes)) + 4 * LANES >= len(high)
+        plain = sum(map(len, lanes)) >= len(high) > 0
         sizes = [len(high), *[0] * (LANES - 1)] if plain else [len(x) for x in lanes]
         data = high.astype(np.uint8).tobytes() if plain else b"".join(lanes)
         offsets = (np.cumsum(sizes) - sizes).tolist()
@@ -311,24 +402,59 @@ def decoded(rows: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "rank int, name string, words binary")
 
 
-def shared_grammar(rows: DataFrame, max_rules: int = 50, masked_bits: int = 16, total_bits: int = 32) -> DataFrame:
-    """Per group of rows (grp, tensor_id, layer, pos, word): rules from the first layer's masked words,
-    applied to every member; one row per tensor with payload, grammar charge and residual bytes."""
+#: Storage and mantissa bits of a word.
+WORD_BITS, MANTISSA_BITS = 32, 23
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["layer", "tensor_id", "pos"])
-        out, rules = [], None
-        for tensor, own in pdf.groupby("tensor_id", sort=False):
-            tokens = (own["word"].to_numpy("int64") >> masked_bits).tolist()
-            charged = rules is None
-            if charged:
-                short, rules = grammar(tokens, max_rules)
-            else:
-                short = tokens
-                for r, a, b, _ in rules:
-                    short = replace(short, a, b, r)
-            width = (2 ** (total_bits - masked_bits) + len(rules) - 1).bit_length()
-            out.append((own["grp"].iloc[0], tensor, len(tokens), len(short), len(rules), -(-width * len(short) // 8), -(-2 * width * len(rules) // 8) if charged else 0, -(-len(tokens) * masked_bits // 8), int(expand(short, rules) != tokens)))
-        return pd.DataFrame(out, columns=["grp", "tensor_id", "n", "n_tokens", "n_rules", "payload_bytes", "grammar_bytes", "residual_bytes", "mismatch"])
-
-    return rows.groupBy("grp").applyInPandas(run, "grp string, tensor_id string, n long, n_tokens long, n_rules long, payload_bytes long, grammar_bytes long, residual_bytes long, mismatch long")
+
+def shared_grammar(rows: DataFrame, max_rules: int = 50, masked_bits: int | None = None, total_bits: int = WORD_BITS, mantissa_bits: int = MANTISSA_BITS) -> DataFrame:
+    """Per tensor of rows (grp, tensor_id, place, is_representative, pos, word): sizes under the rules of its
+    group's representative.
+
+    Words lose their low ``masked_bits`` (all of the mantissa unless given, and no more than that), which
+    are kept raw. Rules are made from the representative's words alone, and every tensor is coded by itself,
+    so a task holds one tensor. The grammar is charged to the first place of the group. restored_sha256 is
+    that of the little-endian words put together again from tokens, rules and residual. A group without a
+    representative raises.
+    """
+    k = mantissa_bits if masked_bits is None else min(masked_bits, mantissa_bits)
+    own = rows.groupBy("grp", "tensor_id").agg(F.min("place").alias("place"), F.max("is_representative").alias("is_representative"), F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("x"))
+    own = own.select("grp", "tensor_id", "place", "is_representative", F.col("x.word").alias("words"))
+    head = "grp string, rules array<array<long>>"
+
+    def learn(batches):
+        for pdf in batches:
+            yield pd.DataFrame([(r.grp, [list(x) for x in grammar(np.asarray(r.words, dtype=np.int64) >> k, max_rules)[1]]) for r in pdf.itertuples(index=False)], columns=["grp", "rules"])
+
+    rules = materialise(own.filter("is_representative").select("grp", "words").mapInPandas(learn, head), "rules")
+    first = rows.groupBy(F.col("grp").alias("_g")).agg(F.min("place").alias("first"))
+    j = own.join(rules.withColumnRenamed("grp", "_r"), F.col("grp").eqNullSafe(F.col("_r")), "left").join(first, F.col("grp").eqNullSafe(F.col("_g")))
+    j = j.filter(F.when(F.col("rules").isNull(), F.raise_error(F.concat(F.lit("missing representative of group "), F.coalesce("grp", F.lit("null")))).cast("boolean")).otherwise(True)).drop("_r", "_g")
+
+    def one(r) -> tuple:
+        words, rules = np.asarray(r.words, dtype=np.int64), [tuple(int(y) for y in x) for x in r.rules]
+        short = apply_rules(words >> k, rules)
+        width = (2 ** (total_bits - k) + len(rules) - 1).bit_length()
+        back = (expand(short, rules) << k) | (words & ((1 << k) - 1))
+        n, charged = len(words), -(-2 * width * len(rules) // 8) if r.place == r.first else 0
+        payload = -(-width * len(short) // 8)
+        sha = hashlib.sha256(back.astype(f"<u{total_bits // 8}").tobytes()).hexdigest()
+        return (r.grp, r.tensor_id, r.place, bool(r.is_representative), n, k, n * total_bits // 8, -(-n * (total_bits - k) // 8), -(-n * k // 8), len(short), len(rules), max((x[3] for x in rules), default=0), payload, charged, payload + charged, sha)
+
+    schema = "grp string, tensor_id string, place int, is_representative boolean, n long, masked_bits int, original_bytes long, masked_only_bytes long, residual_bytes long, n_tokens long, n_rules int, max_pair_frequency long, payload_bytes long, grammar_bytes long, lossy_bytes long, restored_sha256 string"
+
+    def run(batches):
+        for pdf in batches:
+            yield pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=[f.strip().split(" ")[0] for f in schema.split(",")])
+
+    out = j.mapInPandas(run, schema)
+    return out.withColumn("masking_only_ratio", safe_div(F.col("original_bytes").cast("double"), F.col("masked_only_bytes"))).withColumn("compression_ratio", safe_div(F.col("original_bytes").cast("double"), F.col("lossy_bytes")))
+
+
+def grammar_groups(per_tensor: DataFrame) -> DataFrame:
+    """Sizes of each group, sums over its tensors and ratios of sums."""
+    total = per_tensor.groupBy("grp").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list("place")), lambda x: x.cast("string")), " ").alias("layers"), F.max(F.when(F.col("is_representative"), F.col("place"))).alias("representative_layer"),
+        F.max("masked_bits").alias("masked_bits"), F.max("n_rules").alias("n_rules"), F.max("max_pair_frequency").alias("max_pair_frequency"), F.sum("original_bytes").alias("original_bytes"),
+        F.sum("masked_only_bytes").alias("masked_only_bytes"), F.sum("payload_bytes").alias("payload_bytes"), F.sum("grammar_bytes").alias("grammar_bytes"), F.sum("lossy_bytes").alias("lossy_bytes"), F.sum("residual_bytes").alias("residual_bytes"),
+    )
+    return total.withColumn("masking_only_ratio", safe_div(F.col("original_bytes").cast("double"), F.col("masked_only_bytes"))).withColumn("compression_ratio", safe_div(F.col("original_bytes").cast("double"), F.col("lossy_bytes")))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.bits import similarity
+from tessera.plans.running import running_total
 from tessera.plans.scratch import materialise
 
 FIELDS = ("mean", "stddev", "skewness", "excess_kurtosis", "median", "iqr")
@@ -26,10 +27,12 @@ def ks(t: DataFrame, pair: DataFrame) -> DataFrame:
     one = pair.join(c, F.col("t1") == F.col("tensor_id")).select("t1", "t2", "value", F.col("c").alias("c1"), F.lit(0).cast("long").alias("c2"))
     two = pair.join(c, F.col("t2") == F.col("tensor_id")).select("t1", "t2", "value", F.lit(0).cast("long").alias("c1"), F.col("c").alias("c2"))
     v = one.unionByName(two).groupBy("t1", "t2", "value").agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
-    by = W.partitionBy("t1", "t2")
-    run = by.orderBy("value").rowsBetween(W.unboundedPreceding, 0)
-    gap = F.abs(F.sum("c1").over(run) / F.sum("c1").over(by) - F.sum("c2").over(run) / F.sum("c2").over(by))
-    return v.withColumn("gap", gap).groupBy("t1", "t2").agg(F.max("gap").alias("ks"))
+    n = c.groupBy(F.col("tensor_id").alias("_t")).agg(F.sum("c").alias("n"))
+    v = v.join(n.withColumnsRenamed({"_t": "_t1", "n": "n1"}), F.col("t1") == F.col("_t1")).join(n.withColumnsRenamed({"_t": "_t2", "n": "n2"}), F.col("t2") == F.col("_t2"))
+    # the gap after a value is the running sum of what both distributions gain
+    gain = F.col("c1") / F.col("n1") - F.col("c2") / F.col("n2")
+    v = running_total(v.select("t1", "t2", "value", gain.alias("gain")), ["t1", "t2"], [F.col("value")], F.col("gain"), "before")
+    return v.groupBy("t1", "t2").agg(F.max(F.abs(F.col("before") + F.col("gain"))).alias("ks"))
 
 
 def pairwise(prints: DataFrame, pair: DataFrame, distance: DataFrame) -> DataFrame:
@@ -44,10 +47,11 @@ def pairwise(prints: DataFrame, pair: DataFrame, distance: DataFrame) -> DataFra
 
 
 def weights(prints: DataFrame) -> DataFrame:
-    """Importance of each dimension: its variance over all tensors, over the sum of all."""
-    v = prints.agg(*[(F.avg(F.col(d) * F.col(d)) - F.avg(d) * F.avg(d)).alias(d) for d in DIMS])
+    """Importance of each dimension: its variance over all tensors, over the sum of all, to each of which
+    a little is added. Equal fingerprints give weights of 0; no fingerprints count as equal ones."""
+    v = prints.agg(*[F.coalesce(F.avg(F.col(d) * F.col(d)) - F.avg(d) * F.avg(d), F.lit(0.0)).alias(d) for d in DIMS])
     total = sum((F.col(d) + 1e-8 for d in DIMS), F.lit(0.0))
-    return v.select(*[((F.col(d) + 1e-8) / total).alias(f"w_{d}") for d in DIMS])
+    return v.select(*[(F.col(d) / total).alias(f"w_{d}") for d in DIMS])
 
 
 def clusters(prints: DataFrame) -> DataFrame:

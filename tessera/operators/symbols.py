@@ -8,7 +8,6 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.functions.bits import float_bits, fmix32
@@ -24,11 +23,13 @@ def counts(t: DataFrame, cluster: str = "state_type") -> DataFrame:
 
 
 def summary(c: DataFrame) -> DataFrame:
-    """numel, distinct symbols, their ratio, entropy and the two histogram size models."""
+    """numel, distinct symbols, their ratio, entropy, the two histogram size models, bytes as they are and
+    as an ideal coder makes them, and the ratio of histogram and tensor."""
     n = c.groupBy("tensor_id", "cluster").agg(F.sum("cnt").alias("numel"), F.count(F.lit(1)).alias("n_unique"), F.sum(F.col("cnt") * F.log2("cnt")).alias("w"))
     n = n.withColumn("unique_ratio", F.col("n_unique") / F.col("numel")).withColumn("entropy", F.log2("numel") - F.col("w") / F.col("numel")).drop("w")
     width = F.when(F.col("numel") < 65536, 2).otherwise(4)
-    return n.withColumn("hist_bytes_e1", (F.col("n_unique") * width + 64).cast("long")).withColumn("hist_bytes_e2", (F.col("n_unique") * 8 + 64).cast("long"))
+    n = n.withColumn("hist_bytes_e1", (F.col("n_unique") * width + 64).cast("long")).withColumn("hist_bytes_e2", (F.col("n_unique") * 8 + 64).cast("long"))
+    return n.withColumn("tensor_bytes", F.col("numel") * 4).withColumn("estimated_bytes", F.col("entropy") * F.col("numel") / 8).withColumn("hist_ratio", F.col("hist_bytes_e1") / F.col("tensor_bytes"))
 
 
 def merge(c: DataFrame) -> DataFrame:
@@ -56,12 +57,14 @@ def hll_estimate(registers: DataFrame, keys: list[str]) -> DataFrame:
 
 def xe_model(merged: DataFrame) -> DataFrame:
     """Quantised model of a cluster: norm = max(1, floor(cnt 2^p / total)); the most frequent symbol takes the drift."""
-    by = W.partitionBy("cluster")
-    x = merged.withColumn("total", F.sum("cnt").over(by)).withColumn("n", F.count(F.lit(1)).over(by))
+    total = merged.groupBy(F.col("cluster").alias("_c")).agg(F.sum("cnt").alias("total"), F.count(F.lit(1)).alias("n"))
+    x = merged.join(total, F.col("cluster").eqNullSafe(F.col("_c"))).drop("_c")
     x = x.withColumn("p", F.greatest(F.lit(14), F.ceil(F.log2(F.greatest("n", F.lit(2)))) + 1).cast("int"))
     x = x.withColumn("norm", F.greatest(F.lit(1), F.floor(F.col("cnt") * F.pow(F.lit(2.0), "p") / F.col("total"))).cast("long"))
-    x = x.withColumn("rn", F.row_number().over(by.orderBy(F.desc("cnt"), "sym"))).withColumn("drift", (F.pow(F.lit(2.0), "p") - F.sum("norm").over(by)).cast("long"))
-    return x.select("cluster", "sym", "cnt", "p", F.when(F.col("rn") == 1, F.greatest(F.lit(1), F.col("norm") + F.col("drift"))).otherwise(F.col("norm")).alias("norm"))
+    top = x.groupBy(F.col("cluster").alias("_c")).agg(F.sum("norm").alias("used"), F.max_by("sym", F.struct(F.col("cnt"), -F.col("sym"))).alias("top"))
+    x = x.join(top, F.col("cluster").eqNullSafe(F.col("_c")))
+    drift = (F.pow(F.lit(2.0), "p") - F.col("used")).cast("long")
+    return x.select("cluster", "sym", "cnt", "p", F.when(F.col("sym") == F.col("top"), F.greatest(F.lit(1), F.col("norm") + drift)).otherwise(F.col("norm")).alias("norm"))
 
 
 def xe_cost(c: DataFrame, model: DataFrame, key: str = "tensor_id") -> DataFrame:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import bits
-from tessera.operators import codec, similarity, stats, symbols
-from tessera.plans.scratch import folder, materialise
+from tessera.operators import groups, similarity, stats, symbols
+from tessera.plans.running import running_total
+from tessera.plans.scratch import folder
 from tessera.sources import containers, tensors
 from tessera.sources.tensors import EMB_SQL, NUM_SQL
 from tessera.streaming import ingest
@@ -56,10 +57,10 @@ def fingerprint10(spark, sf_dir):
     return rounded(stats.fingerprint10(tensors.embeddings(spark, sf_dir)))
 
 
-@query("SELECT event_type AS tensor_id, count(*) AS n, round(avg(value::FLOAT::DOUBLE), 3) AS mean, round(stddev_pop(value::FLOAT::DOUBLE), 3) AS stddev, round(quantile_cont(value::FLOAT::DOUBLE, 0.5), 3) AS median, round(quantile_cont(value::FLOAT::DOUBLE, 0.75) - quantile_cont(value::FLOAT::DOUBLE, 0.25), 3) AS iqr FROM events GROUP BY 1")
+@query("WITH e AS (SELECT *, value::FLOAT::DOUBLE - avg(value::FLOAT::DOUBLE) OVER (PARTITION BY event_type) AS d FROM events) SELECT event_type AS tensor_id, round(avg(d ** 3) / var_pop(value::FLOAT::DOUBLE) ** 1.5, 3) AS skewness, round(avg(d ** 4) / var_pop(value::FLOAT::DOUBLE) ** 2 - 3, 3) AS excess_kurtosis, count(*) AS n, round(avg(value::FLOAT::DOUBLE), 3) AS mean, round(stddev_pop(value::FLOAT::DOUBLE), 3) AS stddev, round(quantile_cont(value::FLOAT::DOUBLE, 0.5), 3) AS median, round(quantile_cont(value::FLOAT::DOUBLE, 0.75) - quantile_cont(value::FLOAT::DOUBLE, 0.25), 3) AS iqr FROM e GROUP BY 1")
 def dist_stats(spark, sf_dir):
     t = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("event_type").alias("tensor_id"), F.col("value").cast("float").alias("value"))
-    return rounded(stats.fingerprint10(t).select("tensor_id", "n", "mean", "stddev", "median", "iqr"), 3)
+    return rounded(stats.fingerprint10(t).select("tensor_id", "n", "mean", "stddev", "skewness", "excess_kurtosis", "median", "iqr"), 3)
 
 
 @query(f"{_NUM} SELECT tensor_id, min(value)::DOUBLE AS lo, max(value)::DOUBLE AS hi, round((max(value) - min(value))::DOUBLE, 4) AS range, count(*) AS n FROM src GROUP BY 1")
@@ -73,18 +74,10 @@ def value_histogram(spark, sf_dir):
     return stats.histogram(tensors.embeddings(spark, sf_dir))
 
 
-@query(f"""{_NUM}, k AS (SELECT tensor_id, value, count(*) AS c FROM src GROUP BY ALL)
-SELECT tensor_id, value::DOUBLE AS value, round(coalesce(sum(c) OVER (PARTITION BY tensor_id ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(c) OVER (PARTITION BY tensor_id), 6) AS ecdf FROM k WHERE tensor_id LIKE 'discount%' OR tensor_id LIKE 'tax%'""")
-def ecdf(spark, sf_dir):
-    t = tensors.lineitem(spark, sf_dir).filter("category IN ('discount', 'tax')")
-    return rounded(stats.ecdf(t).withColumn("value", F.col("value").cast("double")).select("tensor_id", "value", "ecdf"), 6).withColumn("value", F.col("value"))
-
-
 @query(f"""{_NUM}, k AS (SELECT tensor_id, value, count(*) AS c FROM src GROUP BY ALL)
 SELECT tensor_id, value::DOUBLE AS value, round(coalesce(sum(c) OVER (PARTITION BY tensor_id ORDER BY value ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / sum(c) OVER (PARTITION BY tensor_id), 6) AS ecdf FROM k""")
-def ecdf_all(spark, sf_dir):
-    """All four columns; ecdf is held to discount and tax by its SQL."""
-    return rounded(stats.ecdf(tensors.lineitem(spark, sf_dir)).withColumn("value", F.col("value").cast("double")).select("tensor_id", "value", "ecdf"), 6)
+def ecdf(spark, sf_dir):
+    return stats.ecdf(tensors.lineitem(spark, sf_dir)).select("tensor_id", F.col("value").cast("double").alias("value"), F.round("ecdf", 6).alias("ecdf"))
 
 
 def _counts(spark, sf_dir):
@@ -94,20 +87,21 @@ def _counts(spark, sf_dir):
 _SUMMARY = f"""{_NUM}, {_SYM}, s AS (SELECT tensor_id, cluster, CAST(sum(cnt) AS BIGINT) AS numel, count(*) AS n_unique, sum(cnt * log2(cnt)) AS w FROM cnt GROUP BY ALL),
 summ AS (SELECT tensor_id, cluster, numel, n_unique, n_unique / numel AS unique_ratio, log2(numel) - w / numel AS entropy,
   CAST(n_unique * CASE WHEN numel < 65536 THEN 2 ELSE 4 END + 64 AS BIGINT) AS hist_bytes_e1, CAST(n_unique * 8 + 64 AS BIGINT) AS hist_bytes_e2 FROM s)"""
+_BYTES = "numel * 4 AS tensor_bytes, round(entropy * numel / 8, 3) AS estimated_bytes, round(hist_bytes_e1 / (numel * 4), 6) AS hist_ratio"
 
 
-@query(f"{_SUMMARY} SELECT tensor_id, cluster, numel, n_unique, round(unique_ratio, 6) AS unique_ratio, round(entropy, 6) AS entropy, hist_bytes_e1, hist_bytes_e2 FROM summ")
+@query(f"{_SUMMARY} SELECT tensor_id, cluster, numel, n_unique, round(unique_ratio, 6) AS unique_ratio, round(entropy, 6) AS entropy, hist_bytes_e1, hist_bytes_e2, {_BYTES} FROM summ")
 def symbol_summary(spark, sf_dir):
-    return rounded(symbols.summary(_counts(spark, sf_dir)), 6)
+    return rounded(symbols.summary(_counts(spark, sf_dir)).withColumn("estimated_bytes", F.round("estimated_bytes", 3)), 6)
 
 
 @query(f"""{_SUMMARY} SELECT cluster, count(*) AS n_tensors, round(avg(unique_ratio), 6) AS avg_unique_ratio, round(avg(entropy), 6) AS avg_entropy, CAST(sum(numel) * 4 AS BIGINT) AS tensor_bytes,
-  CAST(sum(hist_bytes_e1) AS BIGINT) AS hist_bytes, round(sum(hist_bytes_e1) / (sum(numel) * 4), 6) AS ratio, arg_max(tensor_id, struct_pack(a := hist_bytes_e1 / numel, b := tensor_id)) AS largest FROM summ GROUP BY cluster""")
+  CAST(sum(hist_bytes_e1) AS BIGINT) AS hist_bytes, round(sum(hist_bytes_e1) / (sum(numel) * 4), 6) AS ratio, arg_max(tensor_id, struct_pack(a := hist_bytes_e1 / numel, b := tensor_id)) AS largest, arg_min(tensor_id, struct_pack(a := hist_bytes_e1 / numel, b := tensor_id)) AS smallest FROM summ GROUP BY cluster""")
 def stream_summary(spark, sf_dir):
     s = symbols.summary(_counts(spark, sf_dir))
     out = s.groupBy("cluster").agg(
         F.count(F.lit(1)).alias("n_tensors"), F.avg("unique_ratio").alias("avg_unique_ratio"), F.avg("entropy").alias("avg_entropy"), (F.sum("numel") * 4).alias("tensor_bytes"),
-        F.sum("hist_bytes_e1").alias("hist_bytes"), (F.sum("hist_bytes_e1") / (F.sum("numel") * 4)).alias("ratio"), F.max_by("tensor_id", F.struct(F.col("hist_bytes_e1") / F.col("numel"), "tensor_id")).alias("largest"),
+        F.sum("hist_bytes_e1").alias("hist_bytes"), (F.sum("hist_bytes_e1") / (F.sum("numel") * 4)).alias("ratio"), F.max_by("tensor_id", F.struct(F.col("hist_bytes_e1") / F.col("numel"), "tensor_id")).alias("largest"), F.min_by("tensor_id", F.struct(F.col("hist_bytes_e1") / F.col("numel"), "tensor_id")).alias("smallest"),
     )
     return rounded(out, 6)
 
@@ -188,11 +182,19 @@ _PAIRS = f"""{_EMB}, ms AS (SELECT tensor_id, pos, (CASE WHEN b < 0 THEN b + 429
 pr AS (SELECT tensor_id, s AS lhs, lead(s) OVER (PARTITION BY tensor_id ORDER BY pos) AS rhs FROM ms), pc AS (SELECT tensor_id, lhs, rhs, count(*) AS cnt FROM pr WHERE rhs IS NOT NULL GROUP BY ALL)"""
 
 
+#: Elements that neighbours are sought in at once.
+_CHUNK = 100_000
+
+
 def _pair_counts(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    t = tensors.embeddings(spark, sf_dir).withColumn("s", F.shiftright(bits.float_bits("value"), 24))
-    p = t.withColumn("rhs", F.lead("s").over(W.partitionBy("tensor_id").orderBy("pos"))).filter("rhs IS NOT NULL")
+    t = tensors.embeddings(spark, sf_dir).select("tensor_id", "pos", F.shiftright(bits.float_bits("value"), 24).alias("s"))
+    t = running_total(t, ["tensor_id"], [F.col("pos")], F.lit(1), "i")
+    # the first element of a chunk closes the last pair of the one before
+    own = F.floor(F.col("i") / _CHUNK)
+    both = F.when((F.col("i") % _CHUNK == 0) & (F.col("i") > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    p = t.withColumn("chunk", F.explode(both)).withColumn("rhs", F.lead("s").over(W.partitionBy("tensor_id", "chunk").orderBy("i"))).filter("rhs IS NOT NULL")
     return p.groupBy("tensor_id", F.col("s").alias("lhs"), "rhs").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -234,7 +236,7 @@ def pairwise_similarity(spark, sf_dir):
     return rounded(similarity.pairwise(stats.fingerprint10(t), p, similarity.ks(t, p)).select("t1", "t2", "similarity"), 4)
 
 
-_WEIGHTS = f"{_EMB}, {_PRINT5}, im AS (SELECT {', '.join(f'avg({d} * {d}) - avg({d}) * avg({d}) + 1e-8 AS {d}' for d in similarity.DIMS)} FROM fp), wt AS (SELECT {', '.join(f'{d} / ({" + ".join(similarity.DIMS)}) AS w_{d}' for d in similarity.DIMS)} FROM im)"
+_WEIGHTS = f"{_EMB}, {_PRINT5}, im AS (SELECT {', '.join(f'avg({d} * {d}) - avg({d}) * avg({d}) AS {d}' for d in similarity.DIMS)} FROM fp), wt AS (SELECT {', '.join(f'{d} / ({" + ".join(f"{x} + 1e-8" for x in similarity.DIMS)}) AS w_{d}' for d in similarity.DIMS)} FROM im)"
 
 
 @query(f"{_WEIGHTS} SELECT {', '.join(f'round(w_{d}, 6) AS w_{d}' for d in similarity.DIMS)} FROM wt")
@@ -264,9 +266,11 @@ def fingerprint_clusters(spark, sf_dir):
     return similarity.clusters(stats.fingerprint5(t).join(t.select("tensor_id", "state_type").distinct(), "tensor_id"))
 
 
-@query("""SELECT p_name AS name, CASE WHEN n LIKE '%q_proj%' OR n LIKE '%query%' THEN 'query' WHEN n LIKE '%k_proj%' OR n LIKE '%key%' THEN 'key' WHEN n LIKE '%v_proj%' OR n LIKE '%value%' THEN 'value' WHEN n LIKE '%o_proj%' OR n LIKE '%output%' THEN 'attn_output'
-  WHEN n LIKE '%norm%' THEN 'layernorm' WHEN n LIKE '%gate_proj%' THEN 'mlp_gate' WHEN n LIKE '%up_proj%' THEN 'mlp_up' WHEN n LIKE '%down_proj%' THEN 'mlp_down' ELSE 'other' END AS role
-  FROM (SELECT p_name || ['.q_proj', '.KEY', '.value', '.o_proj', '.norm', '.gate_proj', '.up_proj', '.down_proj', ''][p_partkey % 9 + 1] AS p_name, lower(p_name || ['.q_proj', '.KEY', '.value', '.o_proj', '.norm', '.gate_proj', '.up_proj', '.down_proj', ''][p_partkey % 9 + 1]) AS n FROM part)""")
+_TAILS = "['.q_proj', '.KEY', '.value', '.o_proj', '.norm', '.gate_proj', '.up_proj', '.down_proj', ''][p_partkey % 9 + 1]"
+_ROLE = " ".join(f"WHEN regexp_matches(n, '{pattern}') THEN '{role}'" for pattern, role in bits.ROLES)
+
+
+@query(f"SELECT p_name AS name, CASE {_ROLE} ELSE 'other' END AS role FROM (SELECT p_name || {_TAILS} AS p_name, lower(p_name || {_TAILS}) AS n FROM part)")
 def role_from_name(spark, sf_dir):
     tails = F.array(*[F.lit(x) for x in (".q_proj", ".KEY", ".value", ".o_proj", ".norm", ".gate_proj", ".up_proj", ".down_proj", "")])
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat("p_name", F.element_at(tails, (F.col("p_partkey") % 9 + 1).cast("int"))).alias("name"))
@@ -299,7 +303,7 @@ def buffer_plan(spark, sf_dir):
 def slab_offsets(spark, sf_dir):
     from pyspark.sql import Window as W
 
-    b = _plan(spark, sf_dir).withColumn("batch", F.floor((F.row_number().over(W.partitionBy("category").orderBy("id")) - 1) / 64))
+    b = running_total(_plan(spark, sf_dir), ["category"], [F.col("id")], F.lit(1), "at").withColumn("batch", F.floor(F.col("at") / 64))
     return b.select("id", "category", "batch", F.coalesce(F.sum("total").over(W.partitionBy("category", "batch").orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("slab_offset"))
 
 
@@ -313,10 +317,9 @@ rk AS (SELECT *, unnest(range(0, 8)) AS rank, CAST(ceil(total / 8) AS BIGINT) AS
 SELECT id, category, CAST(rank AS INTEGER) AS rank, CAST(greatest(s, rank * w) AS BIGINT) AS start, CAST(least(s + numel, (rank + 1) * w) - greatest(s, rank * w) AS BIGINT) AS resident FROM rk WHERE s + numel > rank * w AND s < (rank + 1) * w""")
 def shard_overlap(spark, sf_dir):
     """Ranges against ranks without a cross product: the ranks that a range meets follow from its ends."""
-    from pyspark.sql import Window as W
-
-    by = W.partitionBy("category")
-    o = _catalog(spark, sf_dir).withColumn("s", F.coalesce(F.sum("numel").over(by.orderBy("id").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("w", F.ceil(F.sum("numel").over(by) / 8))
+    c = _catalog(spark, sf_dir)
+    width = c.groupBy(F.col("category").alias("_c")).agg(F.ceil(F.sum("numel") / 8).alias("w"))
+    o = running_total(c, ["category"], [F.col("id")], F.col("numel"), "s").join(width, F.col("category") == F.col("_c"))
     o = o.withColumn("rank", F.explode(F.sequence(F.floor(F.col("s") / F.col("w")), F.floor((F.col("s") + F.col("numel") - 1) / F.col("w"))))).filter("numel > 0")
     start = F.greatest("s", F.col("rank") * F.col("w"))
     return o.select("id", "category", F.col("rank").cast("int").alias("rank"), start.alias("start"), (F.least(F.col("s") + F.col("numel"), (F.col("rank") + 1) * F.col("w")) - start).alias("resident"))
@@ -359,52 +362,7 @@ def container_roundtrip(spark, sf_dir):
     return back.select("rank", "name", "num_elements", "is_raw", F.octet_length("data").cast("long").alias("bytes"), F.sha2("data", 256).alias("sha256"))
 
 
-@query()
-def codec_roundtrip(spark, sf_dir):
-    t = tensors.embeddings(spark, sf_dir).select("tensor_id", "pos", bits.float_bits("value").alias("word"))
-    return codec.roundtrip(t.withColumn("chunk", F.floor(F.col("pos") / 2_000_000)))
-
-
-@query()
-def codec_shared_tables(spark, sf_dir):
-    t = tensors.embeddings(spark, sf_dir).select(F.concat_ws("/", "state_type", "category").alias("cluster"), "tensor_id", "pos", bits.float_bits("value").alias("word"))
-    return codec.shared_tables(t.withColumn("chunk", F.floor(F.col("pos") / 2_000_000)))
-
-
-@query(f"SELECT rank, name, num_elements, sha256 FROM ({ORACLE_SQL['container_roundtrip']})")
-def coded_container_roundtrip(spark, sf_dir):
-    """Coded states, sidecars and tables written, read and decoded to the words that went in."""
-    from pyspark.sql import Window as W
-
-    root = folder(spark, "coded")
-    t = tensors.embeddings(spark, sf_dir).select(F.col("layer").alias("rank"), F.concat_ws("/", "state_type", "category").alias("cluster"), "tensor_id", "pos", bits.float_bits("value").alias("word"))
-    rows = materialise(codec.coded(t.withColumn("chunk", F.floor(F.col("pos") / containers.CHUNK))), "coded")
-    place = (F.row_number().over(W.partitionBy("rank").orderBy("name")) - 1).cast("long").alias("place")
-    # the data isn't sorted along
-    placed = rows.select(F.col("rank").alias("_r"), F.col("name").alias("_n"), place).join(rows, F.col("rank").eqNullSafe(F.col("_r")) & (F.col("name") == F.col("_n")))
-    dtype = F.lit(containers.DTYPES["float32"]).alias("dtype")
-    containers.states.write(placed.withColumn("dtype", dtype).select(*[f.split()[0] for f in containers.STATES.split(", ")]), root)
-    containers.sidecars.write(placed.select("rank", "place", "name", dtype, F.lit(2).alias("bytes_per_elem"), "num_elements", F.col("side").alias("data")), root)
-    own = rows.groupBy("anchor_name").agg(F.min("rank").alias("rank"), F.first("norm_freq").alias("norm_freq"))
-    containers.tables.write(own.select("rank", (F.row_number().over(W.partitionBy("rank").orderBy("anchor_name")) - 1).cast("long").alias("place"), "anchor_name", "norm_freq", F.lit(None).cast("array<long>").alias("cum_freq")), root)
-    side = containers.sidecars.read(spark, root).select(F.col("rank").alias("_r"), F.col("name").alias("_n"), F.col("data").alias("side"))
-    table = containers.tables.read(spark, root).select(F.col("anchor_name").alias("_a"), "norm_freq")
-    back = containers.states.read(spark, root).join(side, (F.col("rank") == F.col("_r")) & (F.col("name") == F.col("_n"))).join(table, F.col("anchor_name") == F.col("_a"))
-    return codec.decoded(back.drop("_r", "_n", "_a")).select("rank", "name", (F.octet_length("words") / 4).cast("long").alias("num_elements"), F.sha2("words", 256).alias("sha256"))
-
-
-@query()
-def shared_grammar(spark, sf_dir):
-    t = tensors.embeddings(spark, sf_dir)
-    return codec.shared_grammar(t.select(F.concat_ws("/", "state_type", "category").alias("grp"), "tensor_id", "layer", "pos", bits.float_bits("value").alias("word")))
-
-
 @query()
 def kmeans_groups(spark, sf_dir):
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    s = symbols.summary(_counts(spark, sf_dir))
-    x = VectorAssembler(inputCols=["unique_ratio", "entropy", "hist_bytes_e2"], outputCol="v").transform(s)
-    model = KMeans(k=max(2, s.count() // 40), seed=0, featuresCol="v", predictionCol="grp").fit(x)
-    return model.transform(x).select("tensor_id", "grp")
+    """Groups of tensors alike in unique ratio, entropy and histogram bytes; singletons are -1."""
+    return groups.kmeans(symbols.summary(_counts(spark, sf_dir)), ["unique_ratio", "entropy", "hist_bytes_e2"]).select("tensor_id", "grp")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 STATES = ("model_state", "master_weights", "exp_avg", "exp_avg_sq")
 ROLES = ("query", "key", "value", "mlp_up")
@@ -62,19 +63,44 @@ def grouping(spark: SparkSession, path: str, state_type: str | None = None, cate
     return spark.sql("SELECT state_type, category, group_id, CAST(layer AS INT) AS layer, representative_layer, place FROM {t} LATERAL VIEW posexplode(split(trim(layers), ' +')) AS place, layer", t=rows)
 
 
-def raw_words(spark: SparkSession, path: str, width: int = 4) -> DataFrame:
-    """Raw little-endian files: path, pos, word. Sizes that don't fit whole words raise."""
-    import numpy as np
-    import pandas as pd
+#: Bytes of a raw file that are read at once.
+RANGE_BYTES = 64 << 20
+
+
+def raw_words(spark: SparkSession, path: str, width: int = 4, expected: DataFrame | None = None) -> DataFrame:
+    """Raw little-endian files: path, pos, word. Files are read in ranges, so one may have any size. Sizes that
+    aren't whole words raise, and so do those that differ from ``expected`` (file_path, numel, by file name)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(path).select("path", "length")  # listed, not read
+    if expected is not None:
+        last = "substring_index({}, '/', -1)"
+        known = expected.select(F.expr(last.format("file_path")).alias("_f"), "numel")
+        files = files.join(known, F.expr(last.format("path")) == F.col("_f"))
+        files = files.filter(F.when(F.col("length") == F.col("numel") * width, True).otherwise(F.raise_error(F.concat("path", F.lit(": not the manifest's size"))).cast("boolean")))
+    whole = F.when(F.col("length") % width == 0, True).otherwise(F.raise_error(F.concat("path", F.lit(": not whole words"))).cast("boolean"))
+    step = RANGE_BYTES // width * width
+    ranges = files.filter(whole).filter("length > 0").select("path", "length", F.explode(F.sequence(F.lit(0).cast("long"), F.col("length") - 1, F.lit(step).cast("long"))).alias("start"))
+    ranges = ranges.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
 
     def parse(batches):
+        import numpy as np
+        import pyarrow as pa
+
         for b in batches:
-            for name, content in zip(b["path"], b["content"], strict=True):
-                if len(content) % width:
-                    raise ValueError(f"{name}: {len(content)} bytes aren't whole words")
-                words = np.frombuffer(content, dtype=f"<u{width}").astype("int64")
+            for name, length, start in zip(*(b.column(c).to_pylist() for c in ("path", "length", "start")), strict=True):
+                fs, local = open_uri(name)
+                with fs.open_input_file(local) as f:
+                    words = np.frombuffer(f.read_at(min(step, length - start), start), dtype=f"<u{width}").astype("int64")
                 for at in range(0, len(words), 100_000):
                     part = words[at : at + 100_000]
-                    yield pd.DataFrame({"path": name, "pos": np.arange(at, at + len(part)), "word": part})
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(part)), pa.array(np.arange(at, at + len(part)) + start // width), pa.array(part)], names=["path", "pos", "word"])
+
+    return ranges.mapInArrow(parse, "path string, pos long, word long")
+
+
+def open_uri(uri: str):
+    """File system and path of any address that pyarrow knows."""
+    import pyarrow.fs as pafs
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "path string, pos long, word long")
+    if uri.startswith("file:/") and not uri.startswith("file://"):
+        uri = "file://" + uri[5:]
+    return pafs.FileSystem.from_uri(uri)
