@@ -135,11 +135,13 @@ def mask_repair(spark: SparkSession, export_dir: str, out: str, state_type: str
     members = catalog.strict_lookup(g, m.select("state_type", "category", "layer", "tensor_key", "dtype"), ["state_type", "category", "layer"])
     members = materialise(catalog.same_dtype(members, ["state_type", "category", "group_id"]), "members")
     grp = F.concat_ws("/", "state_type", "category", F.concat(F.lit("group_"), F.col("group_id").cast("string")))
-    named = members.select(grp.alias("grp"), F.col("tensor_key").alias("tensor_id"), F.col("layer").alias("place"), (F.col("layer") == F.col("representative_layer")).alias("is_representative"))
+    named = members.select(grp.alias("grp"), F.col("tensor_key").alias("tensor_id"), "place", (F.col("layer") == F.col("representative_layer")).alias("is_representative"))
     per = materialise(codec.shared_grammar(named.join(elements.select("tensor_id", "pos", "word"), "tensor_id"), max_rules, masked_mantissa_bits), "grammar")
     key = members.select(grp.alias("_g"), F.col("tensor_key").alias("_t"), "state_type", "category", "group_id", "layer", "dtype")
     per_tensor = per.join(key, (F.col("grp") == F.col("_g")) & (F.col("tensor_id") == F.col("_t")))
-    groups = codec.grammar_groups(per).join(key.select("_g", "state_type", "category", "group_id", "dtype").distinct(), F.col("grp") == F.col("_g"))
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("place", "layer"))), lambda x: x["layer"].cast("string"))
+    named = members.groupBy(grp.alias("_g"), "state_type", "category", "group_id", "dtype").agg(F.array_join(listed, " ").alias("layers"), F.first("representative_layer").alias("representative_layer"))
+    groups = codec.grammar_groups(per).drop("layers", "representative_layer").join(named, F.col("grp") == F.col("_g"))
     a, b = reports.tensor_sizes(per_tensor), reports.group_sizes(groups)
     reports.write(a, f"{out}/tensor_prefix_mask_repair.csv", reports.TENSOR_SIZES)
     reports.write(b, f"{out}/group_prefix_mask_repair.csv", reports.GROUP_SIZES)

@@ -1,7 +1,10 @@
+import struct
+from collections import Counter
+
 import numpy as np
 import pytest
 
-from tessera import registry
+from tessera import registry_coding
 from tessera.operators import codec
 
 SF = "/root/testdata/sf0.001"
@@ -45,12 +48,78 @@ def test_tans_round_trip(seed):
     assert codec.tans_decode(len(codes), x, bits, freq, table) == codes.tolist()
 
 
+def plain_replace(tokens, a, b, by):
+    out, i = [], 0
+    while i < len(tokens):
+        if i + 1 < len(tokens) and tokens[i] == a and tokens[i + 1] == b:
+            out.append(by)
+            i += 2
+        else:
+            out.append(tokens[i])
+            i += 1
+    return out
+
+
+def plain_grammar(tokens, max_rules):
+    rules = []
+    for i in range(max_rules):
+        seen = Counter(zip(tokens, tokens[1:], strict=False))
+        if not seen:
+            break
+        (a, b), n = min(seen.items(), key=lambda x: (-x[1], x[0]))
+        if n < 2:
+            break
+        new = plain_replace(tokens, a, b, -1 - i)
+        if len(new) >= len(tokens):
+            break
+        tokens = new
+        rules.append((-1 - i, a, b, n))
+    return tokens, rules
+
+
 def test_grammar():
-    assert codec.replace([1, 1, 1, 1, 1], 1, 1, -1) == [-1, -1, 1]
+    assert codec.replace([1, 1, 1, 1, 1], 1, 1, -1).tolist() == [-1, -1, 1]
     tokens = [1, 2, 3, 1, 2, 3, 1, 2, 3]
     short, rules = codec.grammar(tokens)
-    assert rules[0] == (-1, 1, 2, 3) and codec.expand(short, rules) == tokens and len(short) < len(tokens)
-    assert codec.grammar([1, 2, 3])[1] == []
+    assert rules[0] == (-1, 1, 2, 3) and codec.expand(short, rules).tolist() == tokens and len(short) < len(tokens)
+    assert codec.grammar([1, 2, 3])[1] == [] and codec.grammar([])[1] == [] and codec.replace([], 1, 1, -1).tolist() == []
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_grammar_agrees_with_plain_lists(seed):
+    r = np.random.default_rng(seed)
+    tokens = r.integers(0, r.integers(1, 6), r.integers(0, 200)).tolist()
+    short, rules = codec.grammar(tokens, 20)
+    assert (short.tolist(), rules) == plain_grammar(tokens, 20)
+    assert codec.expand(short, rules).tolist() == tokens and codec.apply_rules(tokens, rules).tolist() == short.tolist()
+
+
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 900])
+def test_chunks_on_the_wire(n):
+    r = np.random.default_rng(n)
+    codes = r.integers(0, 7, n)
+    codes[:1] = 6
+    freq = codec.tans_quantise(np.bincount(codes, minlength=7) + 1, 256)
+    table = codec.tans_table(freq)
+    raw = codec.tans_chunk(codes, freq, table) + codec.tans_chunk(codes[::-1].copy(), freq, table)
+    first, at = codec.tans_unchunk(raw, freq, table)
+    second, end = codec.tans_unchunk(raw, freq, table, at)
+    assert (first == codes).all() and (second == codes[::-1]).all() and end == len(raw)
+    count, _, bits, words = struct.unpack_from("<IqqI", raw)
+    assert count == n and words == -(-bits // 64)
+
+
+def test_streams_of_several_chunks(spark, monkeypatch):
+    monkeypatch.setattr(codec, "CHUNK_SYMBOLS", 100)
+    words = np.random.default_rng(1).integers(0, 50, 250)
+    t = words_of(spark, [("c", "a", words), ("c", "b", words[:30])]).drop("chunk")
+    streams, tables = codec.tans_streams(t)
+    assert sorted((r["tensor_id"], r["chunk"], r["n"]) for r in streams.collect()) == [("a", 0, 100), ("a", 1, 100), ("a", 2, 50), ("b", 0, 30)]
+    back = sorted((r["tensor_id"], r["chunk"], bytes(r["words"])) for r in codec.tans_words(streams, tables).collect())
+    assert b"".join(x for name, _, x in back if name == "a") == words.astype("<u4").tobytes()
+    monkeypatch.setattr(codec, "MAX_VOCABULARY", 10)
+    with pytest.raises(Exception, match="too many symbols"):
+        codec.tans_streams(t)[0].collect()
 
 
 def words_of(spark, tensors):
@@ -95,14 +164,15 @@ def test_shared_tables(spark):
 
 def test_coded_words_come_back(spark):
     r = np.random.default_rng(8)
-    # long and even: coded; short: held as it is
-    tensors = [("c", "a", r.normal(size=3000).astype("<f4").view("<u4")), ("c", "b", r.normal(size=20).astype("<f4").view("<u4"))]
+    # what the anchor's table suits is coded, random bits are held as they are
+    tensors = [("c", "a", r.normal(size=3000).astype("<f4").view("<u4")), ("c", "b", r.integers(0, 1 << 32, 3000).astype("<u4")), ("d", "e", np.array([5], "<u4"))]
     rows = codec.coded(words_of(spark, tensors).selectExpr("0 AS rank", "*"))
     kept = {x["name"]: x for x in rows.collect()}
-    assert not kept["a/0"]["is_raw"] and kept["b/0"]["is_raw"] and kept["a/0"]["owns_table"] and kept["b/0"]["anchor_name"] == "a"
+    assert not kept["a/0"]["is_raw"] and kept["b/0"]["is_raw"] and kept["a/0"]["owns_table"] and kept["b/0"]["anchor_name"] == "a" and not kept["e/0"]["is_raw"]
+    assert min(kept["a/0"]["norm_freq"]) >= 1 and min(kept["e/0"]["norm_freq"]) == 0  # alone, only its own bytes
     assert {x["name"]: bytes(x["words"]) for x in codec.decoded(rows).collect()} == {f"{t}/0": x.tobytes() for _, t, x in tensors}
 
 
 def test_coded_container_holds_coded_states(spark):
-    out = registry.coded_container_roundtrip(spark, SF).collect()
+    out = registry_coding.coded_container_roundtrip(spark, SF).collect()
     assert len(out) == 64 and {r["num_elements"] for r in out} == {500}

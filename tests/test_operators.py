@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import registry
+from tessera import registry, registry_catalog, registry_coding  # noqa: F401
 from tessera.functions import bits
 from tessera.operators import similarity, stats, symbols
 from tessera.sources import tensors
@@ -21,20 +21,22 @@ def test_against_sql(spark, name):
     want = con.execute(registry.ORACLE_SQL[name]).df()
     assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
     cols = sorted(got.columns)
-    rows = lambda df: sorted(tuple(round(v, 4) + 0.0 if isinstance(v, float) else v for v in r) for r in df[cols].itertuples(index=False))
+    plain = lambda v: None if v is None or v != v else round(v, 4) + 0.0 if isinstance(v, float) else v
+    rows = lambda df: sorted((tuple(plain(v) for v in r) for r in df[cols].itertuples(index=False)), key=lambda r: tuple((v is None, v) for v in r))
     for a, b in zip(rows(got), rows(want), strict=True):
         assert all(x == pytest.approx(y, rel=1e-6, abs=2e-4) if isinstance(x, float) else x == y for x, y in zip(a, b, strict=True))
 
 
 def test_ecdf_covers_every_tensor(spark):
     want = {r[0] for r in tensors.lineitem(spark, SF).select("tensor_id").distinct().collect()}
-    assert {r[0] for r in registry.QUERIES["ecdf_all"](spark, SF).select("tensor_id").distinct().collect()} == want and {x.split("_")[0] for x in want} == {"quantity", "price", "discount", "tax"}
+    assert {r[0] for r in registry.QUERIES["ecdf"](spark, SF).select("tensor_id").distinct().collect()} == want and {x.split("_")[0] for x in want} == {"quantity", "price", "discount", "tax"}
 
 
 def test_round_trips(spark):
-    for r in registry.codec_roundtrip(spark, SF).collect():
+    for r in registry_coding.codec_roundtrip(spark, SF).collect():
         assert r["rans_mismatches"] == r["tans_mismatches"] == 0 and r["freq_sum"] == 4096
-    assert all(r["mismatch"] == 0 for r in registry.shared_grammar(spark, SF).collect())
+    for r in registry_coding.shared_grammar(spark, SF).collect():
+        assert r["payload_bytes"] + r["grammar_bytes"] == r["lossy_bytes"] and (r["grammar_bytes"] > 0) == (r["place"] == 0 and r["n_rules"] > 0)
 
 
 def test_constant_and_single_tensors(spark):
@@ -52,6 +54,13 @@ def test_bits(spark):
     assert [symbols.table_log(n) for n in (1, 2, 300, 10**6)] == [4, 8, 9, 16]
 
 
+def test_equal_fingerprints_have_no_weights(spark):
+    p = spark.createDataFrame([("a", 1.0, 2.0, 3.0, 4.0, 5.0)] * 3, "tensor_id string, mean double, variance double, skewness double, kurtosis double, range double")
+    assert set(similarity.weights(p).first()) == {0.0}
+    two = spark.createDataFrame([("a", 0.0, 0.0, 0.0, 0.0, 0.0), ("b", 2.0, 0.0, 0.0, 0.0, 0.0)], p.schema)
+    assert similarity.weights(two).first()["w_mean"] == pytest.approx(1 / (1 + 5e-8))
+
+
 def test_three_tensors_never_merge(spark):
     rows = [("s", f"t{i}", *(float(i * k) for k in range(1, 6))) for i in (1, 2, 4)]
     p = spark.createDataFrame(rows, "state_type string, tensor_id string, mean double, variance double, skewness double, kurtosis double, range double")
