@@ -147,3 +147,9 @@ def mask_repair(spark: SparkSession, export_dir: str, out: str, state_type: str
     reports.write(b, f"{out}/group_prefix_mask_repair.csv", reports.GROUP_SIZES)
     reports.write_text(reports.grammar_summary(groups, state_type, category, group_id, masked_mantissa_bits, max_rules), f"{out}/checkpoint_prefix_mask_repair_summary.txt")
     return a, b
+
+
+def demo(spark: SparkSession, n: int = 16 << 20) -> list[str]:
+    """Lines of the fingerprint of ``n`` generated values."""
+    t = catalog.synthetic(spark, n).withColumn("tensor_id", F.lit("demo"))
+    return [r["line"] for r in reports.demo_report(stats.fingerprint10(t)).orderBy("part", "place").collect()]

@@ -250,6 +250,29 @@ def tans_words(streams: DataFrame, tables: DataFrame) -> DataFrame:
     return rows.mapInPandas(run, "tensor_id string, chunk long, words binary")
 
 
+def save_streams(streams: DataFrame, tables: DataFrame, path: str) -> None:
+    """Streams and tables under ``path``, streams by cluster."""
+    streams.write.mode("overwrite").parquet(f"{path}/streams")
+    tables.write.mode("overwrite").parquet(f"{path}/tables")
+
+
+def load_streams(spark, path: str) -> tuple[DataFrame, DataFrame]:
+    return spark.read.parquet(f"{path}/streams"), spark.read.parquet(f"{path}/tables")
+
+
+def compare_tables(shared: DataFrame) -> DataFrame:
+    """One row over ``shared_tables``: bytes of streams and tables with a table per chunk and with one per
+    cluster, each counted once, their totals, and the ratio to the words as they are. Wrong symbols raise."""
+    wrong = F.col("own_mismatches") + F.col("shared_mismatches") + F.col("rans_mismatches")
+    checked = shared.filter(F.when(wrong == 0, True).otherwise(F.raise_error(F.concat(F.lit("wrong symbols in "), "tensor_id")).cast("boolean")))
+    whole = lambda c: F.coalesce(F.sum(F.floor((F.col(c) + 7) / 8)), F.lit(0))
+    t = checked.agg((F.coalesce(F.sum("n"), F.lit(0)) * 4).alias("raw_bytes"), whole("own_bits").alias("own_stream_bytes"), F.coalesce(F.sum("own_table_bytes"), F.lit(0)).alias("own_table_bytes"), whole("shared_bits").alias("shared_stream_bytes"), F.coalesce(F.sum("shared_table_bytes"), F.lit(0)).alias("shared_table_bytes"))
+    for x in ("own", "shared"):
+        total = F.col(f"{x}_stream_bytes") + F.col(f"{x}_table_bytes")
+        t = t.withColumn(f"{x}_total_bytes", total).withColumn(f"{x}_ratio", safe_div(F.col("raw_bytes").cast("double"), total))
+    return t
+
+
 def rans_tables(c: DataFrame) -> DataFrame:
     """tensor_id, byte, norm_freq, cum_freq, x_max of byte counts (tensor_id, byte, cnt): bytes that occur alone."""
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tessera.functions.bits import similarity
+from tessera.functions.bits import safe_div, similarity
 from tessera.plans.running import running_total
 from tessera.plans.scratch import materialise
 
@@ -35,15 +35,28 @@ def ks(t: DataFrame, pair: DataFrame) -> DataFrame:
     return v.groupBy("t1", "t2").agg(F.max(F.abs(F.col("before") + F.col("gain"))).alias("ks"))
 
 
-def pairwise(prints: DataFrame, pair: DataFrame, distance: DataFrame) -> DataFrame:
-    """Similarity of each pair: the mean of six component similarities and the KS similarity."""
+#: What a pair's similarity is made of.
+PARTS = (*FIELDS, "ks")
+
+
+def pairwise(prints: DataFrame, pair: DataFrame, distance: DataFrame, part_weights: DataFrame | None = None) -> DataFrame:
+    """Similarity of each pair: the weighted mean of six component similarities and the KS similarity, 0 if
+    the weights are. ``part_weights``: state_type, category and a column w_ of each part, joined to ``pair``
+    (which then has state_type and category); without it, or where a pair has no line, all weigh the same."""
     a = prints.select(F.col("tensor_id").alias("_a"), *[F.col(f).alias(f"a_{f}") for f in FIELDS])
     b = prints.select(F.col("tensor_id").alias("_b"), *[F.col(f).alias(f"b_{f}") for f in FIELDS])
-    j = pair.join(a, F.col("t1") == F.col("_a")).join(b, F.col("t2") == F.col("_b")).join(distance, ["t1", "t2"])
+    even = F.lit(1 / len(PARTS))
+    if part_weights is None:
+        pair = pair.withColumns({f"w_{n}": even for n in PARTS})
+    else:
+        w = part_weights.select(F.col("state_type").alias("_s"), F.col("category").alias("_c"), *[F.col(f"w_{n}").alias(f"_{n}") for n in PARTS])
+        pair = pair.join(w, F.col("state_type").eqNullSafe(F.col("_s")) & F.col("category").eqNullSafe(F.col("_c")), "left").withColumns({f"w_{n}": F.coalesce(F.col(f"_{n}"), even) for n in PARTS})
+    weight = [f"w_{n}" for n in PARTS]
+    j = pair.select("t1", "t2", *weight).join(a, F.col("t1") == F.col("_a")).join(b, F.col("t2") == F.col("_b")).join(distance, ["t1", "t2"])
     parts = [similarity(F.col(f"a_{f}"), F.col(f"b_{f}")).alias(f"sim_{f}") for f in FIELDS]
-    j = j.select("t1", "t2", *parts, F.greatest(F.lit(0.0), 100 * (1 - F.col("ks"))).alias("sim_ks"))
-    names = [*(f"sim_{f}" for f in FIELDS), "sim_ks"]
-    return j.withColumn("similarity", sum((F.col(n) for n in names), F.lit(0.0)) / len(names))
+    j = j.select("t1", "t2", *weight, *parts, F.greatest(F.lit(0.0), 100 * (1 - F.col("ks"))).alias("sim_ks"))
+    total = sum((F.col(f"sim_{n}") * F.col(f"w_{n}") for n in PARTS), F.lit(0.0))
+    return j.withColumn("similarity", safe_div(total, sum((F.col(w) for w in weight), F.lit(0.0)))).drop(*weight)
 
 
 def weights(prints: DataFrame) -> DataFrame:

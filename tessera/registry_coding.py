@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tessera import api
 from tessera.functions import bits
-from tessera.operators import codec, symbols
+from tessera.operators import codec, groups, symbols
 from tessera.plans.scratch import folder
 from tessera.registry import _EMB, _NUM, _SYM, ORACLE_SQL, _counts, query
 from tessera.sources import tensors
@@ -122,3 +122,25 @@ def word_types(spark, sf_dir):
     return w.groupBy("dtype").agg(F.count(F.lit(1)).alias("n"), F.sum(masked).alias("masked"), F.sum(side).alias("side"), F.sum(sign).cast("long").alias("signs"))
 
 
+
+
+@query(f"""{_WORDS}, v AS (SELECT tensor_id, pos // 2000000 AS chunk, count(DISTINCT b) AS k, count(*) AS n FROM w GROUP BY ALL), c AS (SELECT state_type, category, count(DISTINCT b) AS k FROM w GROUP BY ALL)
+SELECT CAST(4 * (SELECT sum(n) FROM v) AS BIGINT) AS raw_bytes, CAST(8 * (SELECT sum(k) FROM v) AS BIGINT) AS own_table_bytes, CAST(8 * (SELECT sum(k) FROM c) AS BIGINT) AS shared_table_bytes, true AS smaller""")
+def table_comparison(spark, sf_dir):
+    """Tables per tensor against tables per cluster: table bytes, and that streams are shorter than the words."""
+    t = codec.compare_tables(codec_shared_tables(spark, sf_dir))
+    return t.select("raw_bytes", "own_table_bytes", "shared_table_bytes", ((F.col("own_stream_bytes") < F.col("raw_bytes")) & (F.col("shared_stream_bytes") < F.col("raw_bytes"))).alias("smaller"))
+
+
+@query()
+def kmeans_symbols(spark, sf_dir):
+    """Groups by unique ratio and entropy alone."""
+    return groups.kmeans(symbols.summary(_counts(spark, sf_dir)), ["unique_ratio", "entropy"]).select("tensor_id", "grp", "size")
+
+
+@query(f"{_NUM} SELECT count(DISTINCT tensor_id) AS n, true AS grouped, true AS alone FROM src")
+def kmeans_check(spark, sf_dir):
+    """What SQL can say of the groups: every tensor is in one, of eight or n / 40; the others are alone."""
+    out = kmeans_symbols(spark, sf_dir)
+    n = F.count(F.lit(1))
+    return out.agg(n.alias("n"), (F.countDistinct("grp") <= F.greatest(F.lit(8), F.floor(n / 40))).alias("grouped"), F.bool_and(F.col("grp").isNull() == (F.col("size") == 1)).alias("alone"))

@@ -104,6 +104,8 @@ def _read_table(raw: bytes) -> dict:
     return {"anchor_name": _text(anchor), "norm_freq": numbers[:LANES], "cum_freq": numbers[LANES:]}
 
 
+#: Index entries in a batch.
+INDEX_ROWS = 256
 #: Elements of an uncoded entry at most.
 CHUNK = 1_000_000
 
@@ -208,13 +210,19 @@ class Container:
                         data = HEAD_BYTES + n * width
                         if data > length:
                             raise ValueError(f"{path}: shorter than its index")
+                        rows = []
                         for place in range(n):
                             e = parse(f.read(width))
                             start, size = data + e.pop("offset", 0), e.pop("size", 0)
                             if start + size > length:
                                 raise ValueError(f"{path}: entry {place} ends behind the file")
                             row = {"rank": rank, "place": place, **e, "path": path, "start": start, "size": size}
-                            yield pa.RecordBatch.from_pylist([{k: list(v) if isinstance(v, tuple) else v for k, v in row.items()}], schema=arrow)
+                            rows.append({k: list(v) if isinstance(v, tuple) else v for k, v in row.items()})
+                            if len(rows) == INDEX_ROWS:
+                                yield pa.RecordBatch.from_pylist(rows, schema=arrow)
+                                rows = []
+                        if rows:
+                            yield pa.RecordBatch.from_pylist(rows, schema=arrow)
 
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import StructType
@@ -224,16 +232,36 @@ class Container:
         if not self.has_data:
             return entries.drop("path", "start", "size")
 
-        @F.udf("binary", useArrow=False)
-        def fetch(path: str, start: int, size: int) -> bytes:
-            if not size:
-                return b""
-            fs, local = _open(path)
-            with fs.open_input_file(local) as f:
-                return f.read_at(size, start)
+        own = [f.name for f in arrow if f.name not in ("path", "start", "size")]
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            path = out = None
+            for batch in batches:
+                kept = batch.select(own)
+                where = zip(*(batch.column(c).to_pylist() for c in ("path", "start", "size")), strict=True)
+                data, begin, held = [], 0, 0
+                for i, (name, start, size) in enumerate(where, 1):
+                    if name != path:  # rows come by path and place
+                        if out is not None:
+                            out.close()
+                        fs, local = _open(name)
+                        path, out = name, fs.open_input_file(local)
+                    data.append(out.read_at(size, start) if size else b"")
+                    held += size
+                    if held >= FETCH_BYTES or i == batch.num_rows:
+                        yield pa.RecordBatch.from_arrays([*kept.slice(begin, i - begin).columns, pa.array(data, pa.binary())], names=[*own, "data"])
+                        data, begin, held = [], i, 0
+            if out is not None:
+                out.close()
 
         n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        return entries.repartition(n).withColumn("data", fetch("path", "start", "size")).drop("path", "start", "size")
+        kinds = dict(f.strip().split(" ", 1) for f in fields)
+        spread = entries.repartition(n, "path", F.floor(F.col("place") / 64)).sortWithinPartitions("path", "start")
+        return spread.mapInArrow(fetch, ", ".join([*[f"{c} {kinds[c]}" for c in own], "data binary"]))
+
+
+#: Bytes of data in a batch that is read, about.
+FETCH_BYTES = 16 << 20
 
 
 class _File:

@@ -170,3 +170,17 @@ def memory_report(tensors: DataFrame) -> DataFrame:
     t = tensors.agg(F.coalesce(F.sum("byte_size"), F.lit(0)).alias("b"), F.coalesce(F.sum("total"), F.lit(0)).alias("p"))
     last = [_line("Total tensor data : ", n("b"), " B (", F.shiftright("b", 20).cast("string"), " MiB)"), _line("Total slab alloc  : ", n("p"), " B (", F.shiftright("p", 10).cast("string"), " KiB)")]
     return _texts(tensors.orderBy("name"), 0, [each]).unionByName(_texts(t, 1, last))
+
+
+def tables_report(t: DataFrame) -> DataFrame:
+    """Lines of ``codec.compare_tables``: sizes with a table of their own and with one per cluster."""
+    whole = lambda c: F.format_number(F.col(c), 0)
+    block = lambda title, x: [F.lit(f"--- {title} ---"), *[_line(f"  {n}: ", whole(f"{x}_{c}_bytes")) for n, c in (("Streams", "stream"), ("Tables", "table"), ("Total", "total"))], _line("  Ratio: ", _fixed(f"{x}_ratio", 4)), F.lit("")]
+    better = F.when(F.col("shared_total_bytes") < F.col("own_total_bytes"), "clustered").otherwise("per tensor")
+    return _texts(t, 0, [_line("Raw bytes: ", whole("raw_bytes")), F.lit(""), *block("PER TENSOR", "own"), *block("CLUSTERED", "shared"), _line("Smaller: ", better)])
+
+
+def demo_report(prints: DataFrame) -> DataFrame:
+    """Lines of one tensor's fingerprint (``stats.fingerprint10``)."""
+    names = (("Mean", "mean"), ("StdDev", "stddev"), ("Skewness", "skewness"), ("Excess Kurtosis", "excess_kurtosis"), ("Median", "median"), ("IQR", "iqr"))
+    return _texts(prints, 0, [F.lit("=== STATISTICAL FINGERPRINT ==="), _line("Tensor Target Size: ", F.col("n").cast("string"), " elements"), *[_line(f"{n}: ", _fixed(c, 6)) for n, c in names]])

@@ -90,3 +90,47 @@ def files(spark: SparkSession, path: str, files_per_batch: int = 64) -> DataFram
     schema = spark.read.parquet(path).schema
     pattern = f"{path[:-1]}[{path[-1]}]"
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(pattern)
+
+
+def latest(spark: SparkSession, root: str, schema: str | None = None) -> DataFrame:
+    """The states of the last batch that holds each tensor: a tensor that comes again replaces itself."""
+    reader = spark.read if schema is None else spark.read.schema(schema + ", batch int")
+    rows = reader.parquet(f"{root}/state")
+    last = rows.groupBy(F.col("tensor_id").alias("_t")).agg(F.max("batch").alias("_b"))
+    return rows.join(last, (F.col("tensor_id") == F.col("_t")) & (F.col("batch") == F.col("_b"))).drop("batch", "_t", "_b")
+
+
+def reset(spark: SparkSession, root: str) -> None:
+    """Forget progress and states, so that the next run reads everything anew."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+class Ingestion:
+    """A running intake: ``start`` accepts new files as they come, ``stop`` ends it after the batch at hand,
+    ``flush`` waits until all that has come is in the states."""
+
+    def __init__(self, source: DataFrame, elements: Callable[[DataFrame], DataFrame], reduce: Callable[[DataFrame], DataFrame], root: str):
+        self.source, self.elements, self.reduce, self.root, self.query = source, elements, reduce, root, None
+
+    @property
+    def accepting(self) -> bool:
+        return self.query is not None and self.query.isActive
+
+    def start(self) -> None:
+        if self.accepting:
+            return
+
+        def keep(batch: DataFrame, batch_id: int) -> None:
+            self.reduce(self.elements(batch)).write.mode("overwrite").parquet(f"{self.root}/state/batch={batch_id}")
+
+        self.query = self.source.writeStream.foreachBatch(keep).option("checkpointLocation", f"{self.root}/progress").start()
+
+    def flush(self) -> None:
+        if not self.accepting:
+            raise RuntimeError("not accepting")
+        self.query.processAllAvailable()
+
+    def stop(self) -> None:
+        if self.accepting:
+            self.query.stop()

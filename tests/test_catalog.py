@@ -4,11 +4,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessera import api
+from tessera import api, config
 from tessera.functions import bits, dtypes
-from tessera.operators import groups, stats, symbols
+from tessera.operators import benchmark, codec, groups, similarity, stats, symbols
 from tessera.plans.running import running_total
-from tessera.sources import catalog, reports, tensors
+from tessera.sources import catalog, reports
+from tessera.streaming import ingest
 
 
 def lines(df):
@@ -168,8 +169,6 @@ def test_mask_repair(spark, export):
     path, words = export
     a, b = api.mask_repair(spark, f"file://{path}", f"file://{path}/out", max_rules=10)
     got = {r["layer"]: r for r in a.collect()}
-    from tessera.operators import codec
-
     _, rules = codec.grammar(words[1] >> 23, 10)
     width = (2**9 + len(rules) - 1).bit_length()
     charge = -(-2 * width * len(rules) // 8)
@@ -206,3 +205,94 @@ def test_catalog_to_files_and_back(spark, tmp_path):
     assert api.analyze(empty).clusters.count() == 0
     with pytest.raises(ValueError):
         api.load_catalog(spark, c.elements, histogram_bins=0)
+
+
+class Holder:
+    def __init__(self, **named):
+        self.__dict__ |= named
+
+
+def test_config(monkeypatch, tmp_path):
+    monkeypatch.delenv("RANK", raising=False)
+    assert config.rank(Holder(global_rank=3), "global_rank", "RANK") == 3 and config.rank(Holder(), "global_rank", "RANK") == -1
+    monkeypatch.setenv("RANK", "5 of 8")
+    assert config.rank(None, "global_rank", "RANK") == 5
+    opt = Holder(optimizer=Holder(state={"a": 1}), fp16_partitioned_groups_flat=[], fp32_partitioned_groups_flat=[])
+    assert config.optimizer(Holder(optimizer=opt)) is opt and config.optimizer(Holder(), 7) == 7 and config.optimizer(Holder()) is None
+    assert config.state_mapping(opt) == {"a": 1} and config.state_mapping(None) is None
+    assert config.has_flat_groups(opt) and not config.has_flat_groups(None) and not config.has_flat_groups(Holder())
+    assert config.group_rank(Holder(ds_process_group=Holder(rank=2)), 9) == 2 and config.group_rank(Holder(), 9) == 9
+    a, b = config.RankLog(tmp_path, 0), config.RankLog(tmp_path, 1)
+    a.write("one")
+    a.write("two")
+    assert a.path.read_text() == "one\ntwo\n" and a.path.parent.parent == b.path.parent.parent
+    monkeypatch.setenv("TESSERA_RUN_ID", "mine")
+    assert config.run_id(tmp_path) == "mine"
+
+
+def test_benchmark_of_quantiles(spark):
+    t = spark.range(100).selectExpr("concat('t', id % 3) AS tensor_id", "CAST(id AS FLOAT) AS value")
+    out = benchmark.quantile_strategies(t)
+    assert tuple(out.columns) == benchmark.COLUMNS and {r["total_input_bytes"] for r in out.collect()} == {400} and out.count() == 3
+
+
+def test_demo(spark):
+    text = api.demo(spark, 20_000)
+    assert text[1] == "Tensor Target Size: 20000 elements" and float(text[3].split(": ")[1]) == pytest.approx(0.0005, rel=0.03)
+
+
+def test_saved_streams_and_their_report(spark, tmp_path):
+    r = np.random.default_rng(3)
+    x = {"a": r.integers(0, 40, 300), "b": r.integers(0, 40, 200)}
+    t = spark.createDataFrame([("c", k, 0, i, int(w)) for k, v in x.items() for i, w in enumerate(v)], "cluster string, tensor_id string, chunk long, pos long, word long")
+    codec.save_streams(*codec.tans_streams(t.drop("chunk")), f"file://{tmp_path}/s")
+    back = {r["tensor_id"]: bytes(r["words"]) for r in codec.tans_words(*codec.load_streams(spark, f"file://{tmp_path}/s")).collect()}
+    assert back == {k: v.astype("<u4").tobytes() for k, v in x.items()}
+    one = codec.compare_tables(codec.shared_tables(t))
+    sizes = one.first()
+    assert sizes["raw_bytes"] == 2000 and sizes["own_table_bytes"] == 8 * sum(len(np.unique(v)) for v in x.values()) and sizes["shared_table_bytes"] == 8 * len(np.unique(np.concatenate([*x.values()])))
+    assert lines(reports.tables_report(one))[-1] == "Smaller: clustered"
+    wrong = codec.shared_tables(t).withColumn("own_mismatches", F.lit(1).cast("long"))
+    with pytest.raises(Exception, match="wrong symbols"):
+        codec.compare_tables(wrong).collect()
+
+
+def test_intake_starts_stops_and_forgets(spark, tmp_path):
+    def add(name, rows):
+        spark.createDataFrame(rows, "tensor_id string, value float").coalesce(1).write.parquet(f"{tmp_path}/{name}")
+        for p in (tmp_path / name).glob("part-*"):
+            (tmp_path / "in").mkdir(exist_ok=True)
+            p.rename(tmp_path / "in" / f"{name}.parquet")
+
+    add("one", [("a", 1.0), ("a", 3.0), ("b", 5.0)])
+    root = f"file://{tmp_path}/out"
+    source = lambda: spark.readStream.schema("tensor_id string, value float").parquet(f"file://{tmp_path}/in")
+    intake = ingest.Ingestion(source(), lambda x: x, ingest.moments, root)
+    with pytest.raises(RuntimeError):
+        intake.flush()
+    intake.start()
+    intake.start()
+    intake.flush()
+    add("two", [("a", 10.0)])
+    intake.flush()
+    assert intake.accepting
+    intake.stop()
+    assert not intake.accepting
+    assert {r["tensor_id"]: r["mean"] for r in ingest.latest(spark, root, ingest.STATE).collect()} == {"a": 10.0, "b": 5.0}
+    assert {r["tensor_id"]: r["n"] for r in ingest.merge_moments(ingest.states(spark, root, ingest.STATE)).collect()} == {"a": 3, "b": 1}
+    ingest.reset(spark, root)
+    assert not (tmp_path / "out").exists()
+    assert ingest.ingest(source(), lambda x: x, ingest.moments, root) >= 1
+
+
+def test_weighted_similarity(spark):
+    names = similarity.FIELDS
+    prints = spark.createDataFrame([("a", *[1.0] * 6), ("b", 1.0, *[2.0] * 5)], "tensor_id string, " + ", ".join(f"{n} double" for n in names))
+    pair = spark.createDataFrame([("a", "b", "s", "key")], "t1 string, t2 string, state_type string, category string")
+    ks = spark.createDataFrame([("a", "b", 0.25)], "t1 string, t2 string, ks double")
+    third = 100 * (1 - 1 / 3)
+    got = lambda w: similarity.pairwise(prints, pair, ks, w).first()["similarity"]
+    assert got(None) == pytest.approx((100 + 5 * third + 75) / 7)
+    table = lambda cat, *w: spark.createDataFrame([("s", cat, *map(float, w))], "state_type string, category string, " + ", ".join(f"w_{n} double" for n in similarity.PARTS))
+    assert got(table("key", 3, 0, 0, 0, 0, 0, 1)) == pytest.approx((300 + 75) / 4)
+    assert got(table("key", *[0] * 7)) == 0 and got(table("value", *[0] * 7)) == pytest.approx(got(None))
