@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
 #: Bytes of words and ids kept by a worker, about; later words are encoded each time.
-CACHE_BYTES = 48 << 20
+CACHE_BYTES = 80 << 20
 #: What an entry takes besides its characters: two objects and its place in the table.
 ENTRY_BYTES = 180
 #: Stands before a word that no space precedes.
