@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tessera.llm._common import materialise, one_text, partitions, read, slices
+from tessera.llm._common import materialise, one_text, partitions, read, release, slices
 
 ALPHA = 0.4
 #: Bigrams that are rarer count as unseen; from 2 on, the model is a pruned one.
@@ -37,7 +37,7 @@ TABLE_WORDS = 1 << 19
 #: Share of all words from which a word is very frequent: 1 / HOT words and 1 / HOT^2 bigrams at most.
 HOT = 1 / 1000
 #: Bigrams aimed at in a partition.
-PAIRS_PER_PART = 1_500_000
+PAIRS_PER_PART = 1_000_000
 _BITS = np.uint64((1 << 48) - 1)
 _BEGIN, _END = 0, 1
 _SCHEMA = "word long, n long"
@@ -198,9 +198,11 @@ def _score(table: Table, min_count: int, alpha: float):
         tf = np.concatenate([_wide(x, int(n.sum()), np.uint8) for x, n in zip(raw["tf"], parts, strict=True)])
         cuts = np.cumsum([0, *map(len, parts)])
         sizes = np.concatenate(parts)
-        doc, v, w = np.repeat(np.arange(len(sizes)), sizes), _unsix(b"".join(raw["v"])), _unsix(b"".join(raw["w"]))
+        doc, v, w = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), _unsix(b"".join(raw.pop("v"))), _unsix(b"".join(raw.pop("w")))
+        raw = {"docs": raw["docs"]}
         order = np.lexsort((w, v))
         doc, v, w, tf = doc[order], v[order], w[order], tf[order]
+        del order
         new_v = np.flatnonzero(np.diff(v, prepend=v[0] + np.uint64(1)) != 0)
         new = np.ones(len(v), dtype=bool)
         new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
@@ -209,6 +211,7 @@ def _score(table: Table, min_count: int, alpha: float):
         own = np.repeat(np.add.reduceat(tf, new_v), np.diff(new_v, append=len(v)))
         held = table.get(v)
         c1 = np.where(held > 0, held, own)  # words that aren't held have all their bigrams here
+        del own, held, new, new_v, at
         score = np.zeros(len(v))
         real = w != _END
         inner = real & (v != _BEGIN)
@@ -232,6 +235,8 @@ def _score(table: Table, min_count: int, alpha: float):
         slice_of = head[0].take(pa.array(block))
         empty = [pa.nulls(len(far), x.type) for x in (*head[1:], *(pa.array([], pa.binary()) for _ in range(3)))]
         yield pa.RecordBatch.from_arrays([slice_of, *empty, pa.array(idx), pa.array(w[far].astype(np.int64)), pa.array(tf[far])], names=_SCORED)
+        del doc, v, w, tf, score, c1, c2, total, hits, known
+        release()
 
     return run
 
