@@ -11,7 +11,7 @@ import atexit
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -62,6 +62,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: short lineage, safe when executors die."""
+    small_batches(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
@@ -99,8 +100,16 @@ def running_total(df: DataFrame, keys: list[str], bucket: str, order: Iterable[C
     return inner.join(right, on, "left").withColumn(out, (F.col("_in") + F.col("_base")).cast("long")).drop("_in", "_base", *[f"_k_{c}" for c in part])
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Parts of the batches with about ``limit`` bytes of text, and the texts as UTF-8 (null: empty)."""
+#: What a worker keeps for later tasks of a kind: the kind, and how to drop it.
+KEPT: list[tuple[str, Callable[[], None]]] = []
+
+
+def slices(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = SLICE_BYTES, kind: str = "") -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Parts of the batches with about ``limit`` bytes of text, and the texts as UTF-8 (null: empty). What the
+    worker keeps for tasks of another ``kind`` is dropped first."""
+    for other, drop in KEPT:
+        if other != kind:
+            drop()
     try:
         for batch in batches:
             if not batch.num_rows:
@@ -127,6 +136,18 @@ def release() -> None:
         trim(0)
 
 
+#: Rows in a batch for a Python worker. Texts may be long, and JVM and worker each hold a batch several times.
+BATCH_ROWS = 2000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's batch size to ``BATCH_ROWS`` if it is larger or unlimited; smaller ones stay."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def one_text(docs: DataFrame) -> DataFrame:
     """doc_id and text alone: other columns, whatever their names, play no part."""
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id"), F.col("text"))

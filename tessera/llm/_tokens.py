@@ -17,11 +17,15 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from tessera.llm._common import KEPT
+
+#: Kind of the tasks that keep encoded words.
+KIND = "tokens"
 DEFAULT = public_tokenizers.path("byte_bpe_50k.json")
 #: Bytes of words and ids kept by a worker, about; later words are encoded each time.
-CACHE_BYTES = 80 << 20
+CACHE_BYTES = 64 << 20
 #: What an entry takes besides its characters: two objects and its place in the table.
-ENTRY_BYTES = 180
+ENTRY_BYTES = 220
 #: Stands before a word that no space precedes.
 _BARE = "\x01"
 #: White space besides space and newline, and the mark itself.
@@ -69,6 +73,13 @@ class Encoder(dict):
             cls._known[path] = cls(path)
         return cls._known[path]
 
+    @classmethod
+    def forget(cls) -> None:
+        """Drop the words, not the tokenizers."""
+        for e in cls._known.values():
+            e.clear()
+            e._left = CACHE_BYTES
+
     def __missing__(self, word: str) -> bytes:
         bare = word[:1] == _BARE
         text = word[1:] if bare else word
@@ -121,6 +132,8 @@ class Encoder(dict):
         return self[word if spaced else _BARE + word]
 
 
+KEPT.append((KIND, Encoder.forget))
+
 #: Places where the pattern always cuts: before a single space, or around a newline, between visible characters.
 _CUT = re.compile(r"(?<=\S)(?= \S)|(?<=\S)(?=\n\S)|(?<=\S\n)(?=\S)")
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
 from tessera.llm._common import materialise, one_text, partitions, read, running_total, slices
-from tessera.llm._tokens import DEFAULT, Encoder
+from tessera.llm._tokens import DEFAULT, KIND, Encoder
 
 CAPACITY = 1024
 END_ID = 2
@@ -216,7 +216,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID, path
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = Encoder.of(path), end_id.to_bytes(4, "little")
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, kind=KIND):
             out = [[] for _ in range(6)]
             for doc_id, text, ids in zip(part.column("doc_id").to_pylist(), texts, encoder.encode([t.decode("utf-8", "replace") for t in texts]), strict=True):
                 ids += tail
@@ -264,7 +264,7 @@ def packed_texts(docs: DataFrame, capacity: int = CAPACITY, end_id: int = END_ID
 
     def ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, tail = Encoder.of(path), end_id.to_bytes(4, "little")
-        for part, texts in slices(batches):
+        for part, texts in slices(batches, kind=KIND):
             values = [np.frombuffer(x + tail, "<u4").astype(np.int32) for x in encoder.encode([t.decode("utf-8", "replace") for t in texts])]
             keys = pa.array(map(_key, texts), type=pa.int64())
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), keys, pa.array(values, type=pa.list_(pa.int32()))], names=["_doc", "_key", "all_ids"])

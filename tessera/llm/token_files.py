@@ -25,7 +25,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tessera.llm._common import materialise, one_text, partitions, read, scratch_path, slices
-from tessera.llm._tokens import DEFAULT, Encoder
+from tessera.llm._tokens import DEFAULT, KIND, Encoder
 
 MAGIC = b"TSRX"
 VERSION = 1
@@ -157,7 +157,7 @@ def write(docs: DataFrame, root: str, end_id: int | None = 0, path: str = DEFAUL
 
 
 def _ids(batches: Iterator[pa.RecordBatch], encoder: Encoder, tail: bytes) -> Iterator[tuple[int, int, bytes]]:
-    for part, texts in slices(batches):
+    for part, texts in slices(batches, kind=KIND):
         ids = encoder.encode([t.decode("utf-8", "replace") for t in texts])
         yield from ((s, d, x + tail) for s, d, x in zip(part.column("shard").to_pylist(), part.column("doc_id").to_pylist(), ids, strict=True))
 
