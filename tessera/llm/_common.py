@@ -136,15 +136,19 @@ def release() -> None:
         trim(0)
 
 
-#: Rows in a batch for a Python worker. Texts may be long, and JVM and worker each hold a batch several times.
-BATCH_ROWS = 2000
+#: Rows and bytes in a batch for a Python worker, whichever come first. Texts may be long, and JVM and worker each
+#: hold a batch several times.
+BATCH_ROWS, BATCH_BYTES = 2000, 4 << 20
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lower the session's batch size to ``BATCH_ROWS`` if it is larger or unlimited; smaller ones stay."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
-        spark.conf.set(key, str(BATCH_ROWS))
+    """Lower the session's batch sizes to ``BATCH_ROWS`` and ``BATCH_BYTES`` if they are larger or unlimited;
+    smaller ones stay."""
+    size = spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes
+    for name, parse, most in (("maxRecordsPerBatch", int, BATCH_ROWS), ("maxBytesPerBatch", size, BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < parse(spark.conf.get(key)) <= most:
+            spark.conf.set(key, str(most))
 
 
 def one_text(docs: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -440,3 +441,30 @@ def test_empty(docs, run):
 def test_empty_files(docs, tmp_path):
     root = f"file://{tmp_path}/none"
     assert token_files.read_back(token_files.write(docs.limit(0), root), root).count() == 0
+
+
+def test_batches_for_workers_are_bounded(spark):
+    from tessera.llm import _common
+
+    keys = [f"spark.sql.execution.arrow.{k}" for k in ("maxRecordsPerBatch", "maxBytesPerBatch")]
+    before = [spark.conf.get(k) for k in keys]
+    try:
+        cases = {("10000", "64m"): ("2000", str(4 << 20)), ("0", "1gb"): ("2000", str(4 << 20)), ("-1", "2KB"): ("2000", "2KB"), ("500", "1000000"): ("500", "1000000")}
+        for given, wanted in cases.items():
+            for k, v in zip(keys, given, strict=True):
+                spark.conf.set(k, v)
+            _common.small_batches(spark)
+            assert tuple(spark.conf.get(k) for k in keys) == wanted
+        long = make(spark, [(i, "x" * 1_000_000, "s") for i in range(20)]).coalesce(1)
+        _common.small_batches(spark)
+        spark.conf.set(keys[1], str(4 << 20))
+
+        def count(batches):
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], names=["n"])
+
+        sizes = [r["n"] for r in long.mapInArrow(count, "n long").collect()]
+        assert sum(sizes) == 20 and max(sizes) <= 5
+    finally:
+        for k, v in zip(keys, before, strict=True):
+            spark.conf.set(k, v)
