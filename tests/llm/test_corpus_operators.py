@@ -2,6 +2,7 @@
 repeated rows and columns with clashing names."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -55,7 +56,7 @@ def key(x):
 
 def test_quality(spark, rows, docs):
     trusted = make(spark, rows[:30]).select("doc_id")
-    out = quality.quality(docs, trusted).collect()
+    out = quality.quality(docs, trusted, quality.THRESHOLD).collect()
     assert len(out) == len(rows)
     for r, (i, x, _) in zip(out, rows, strict=True):
         words = WORD.findall(x or "")
@@ -72,7 +73,7 @@ def test_quality(spark, rows, docs):
 
 
 def test_quality_ratio_is_the_two_multinomials(spark, rows, docs):
-    ratio = quality.fit_ratio(docs, make(spark, rows[:30]).select("doc_id"))
+    ratio, _ = quality.fit_ratio(docs, make(spark, rows[:30]).select("doc_id"))
     flat, n = quality._hashes([(x or "").encode() for _, x, _ in rows])
     bucket, doc = quality._ngrams(flat, n)
     chosen = np.array([i is not None and i < 30 for i, _, _ in rows])
@@ -80,7 +81,33 @@ def test_quality_ratio_is_the_two_multinomials(spark, rows, docs):
     own = bucket[chosen[doc]]
     target = (np.bincount(own, minlength=quality.BUCKETS) + quality.SMOOTHING * raw) / (len(own) + quality.SMOOTHING)
     assert np.allclose(ratio, np.log(target / raw))
-    assert not quality.fit_ratio(docs, docs.limit(0)).any()
+    none, threshold = quality.fit_ratio(docs, docs.limit(0))
+    assert not none.any() and threshold == quality.THRESHOLD
+
+
+def test_quality_threshold_is_what_trusted_documents_reach_unseen(spark):
+    r = random.Random(8)
+    plain, junk = ([f"{c}{i}" for i in range(300)] for c in "pj")
+    rows = [(i, " ".join(r.choices(plain, k=r.randint(60, 90))), "s") for i in range(200)]
+    rows += [(200 + i, " ".join(r.choices(junk, k=70)), "s") for i in range(100)] + [(7, rows[7][1], "s"), (8, None, "s"), (9, "too short", "s")]
+    docs, trusted = make(spark, rows), make(spark, rows[:120]).select("doc_id")
+    _, threshold = quality.fit_ratio(docs, trusted)
+    fold = {x["doc_id"]: x["f"] for x in trusted.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(quality.FOLDS)).alias("f")).collect()}
+    bucket, doc = quality._ngrams(*quality._hashes([(x or "").encode() for _, x, _ in rows]))
+    part = np.array([fold.get(i, -1) for i, _, _ in rows])
+    raw = (np.bincount(bucket, minlength=quality.BUCKETS) + 1) / (len(bucket) + quality.BUCKETS)
+    scores = []
+    for f in set(fold.values()):
+        own = bucket[(part[doc] >= 0) & (part[doc] != f)]
+        soft = quality.SMOOTHING * len(own) / (part[doc] >= 0).sum()
+        ratio = np.log((np.bincount(own, minlength=quality.BUCKETS) + soft * raw) / (len(own) + soft) / raw)
+        scores += [ratio[bucket[doc == k]].mean() for k in np.flatnonzero(part == f) if len((rows[k][1] or "").split()) >= 50]
+    assert len(scores) == 121
+    assert threshold == min(math.floor(min(scores) / quality.STEP) * quality.STEP, 0.0)
+    kept = {x["doc_id"] for x in quality.quality(docs, trusted).collect() if x["kept"]}
+    assert kept <= set(range(200)) and len(kept) >= 197  # a document in a hundred may be as odd as none of the trusted
+    one = make(spark, rows[:1]).select("doc_id")
+    assert quality.fit_ratio(docs, one)[1] == quality.THRESHOLD
 
 
 def test_tokens_are_the_library_s(rows):
