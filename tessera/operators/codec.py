@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from tessera.functions.bits import safe_div
 from tessera.operators.symbols import table_log
+from tessera.plans.running import running_total
 from tessera.plans.scratch import materialise
 
 SCALE_BITS, LANES, LOW = 12, 256, 1 << 23
 M = 1 << SCALE_BITS
-#: Symbols of the largest tANS table.
-MAX_VOCABULARY = 1 << 16
+#: Symbols of the largest tANS table. A larger vocabulary is split into pages of so many words, in their order.
+PAGE = 1 << 16
+#: Words of the largest vocabulary: the table of its pages is a tANS table too. All 32-bit words fit.
+MAX_VOCABULARY = PAGE * PAGE
 
 
 def normalise(hist: np.ndarray, size: int = M, full: bool = False) -> np.ndarray:
@@ -187,6 +190,31 @@ def tans_code(codes: np.ndarray, freq: np.ndarray) -> tuple[int, int]:
     return len(bits), int((np.array(back, dtype=np.int64) != codes).sum())
 
 
+def _by_page(at: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The pages that occur, in order, and the places of each."""
+    order = np.argsort(at, kind="stable")
+    pages, start = np.unique(at[order], return_index=True)
+    return list(zip(pages.tolist(), np.split(order, start[1:]), strict=True)) if len(at) else []
+
+
+def paged_code(codes: np.ndarray, cnt: np.ndarray, page: int = PAGE) -> tuple[int, int]:
+    """Bits and wrong symbols of a round trip under tables of the vocabulary's counts; codes are positions in it.
+    With several pages the numbers of the pages are coded too, and the bits hold 64 for each page's count."""
+
+    def once(codes: np.ndarray, cnt: np.ndarray) -> tuple[int, int]:
+        return tans_code(codes, tans_quantise(cnt, 1 << table_log(len(cnt))))
+
+    if len(cnt) <= page:
+        return once(codes, cnt)
+    at, starts = codes // page, np.arange(0, len(cnt), page)
+    bits, wrong = once(at, np.add.reduceat(cnt, starts))
+    bits += 64 * len(starts)
+    for p, places in _by_page(at):
+        more, bad = once(codes[places] - p * page, cnt[p * page : (p + 1) * page])
+        bits, wrong = bits + more, wrong + bad
+    return bits, wrong
+
+
 def tans_chunk(codes: np.ndarray, freq: np.ndarray, table) -> bytes:
     """A chunk on the wire: symbols (u32), final state (i64), bits (i64), words (u32), then 64-bit words.
     Raises if it doesn't decode to what it was made of."""
@@ -217,7 +245,7 @@ def tans_streams(t: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(streams: cluster, tensor_id, chunk, n, data; tables: cluster, words, freq) of rows (cluster, tensor_id,
     pos, word): whole words under the table of their cluster. A tensor's stream is the number of its chunks
     (u32) and their data in order. Clusters with more than MAX_VOCABULARY words raise."""
-    tables = materialise(vocabularies(t), "tables")
+    tables = materialise(vocabularies(t, most=min(MAX_VOCABULARY, PAGE)).drop("page"), "tables")
     rows = _gathered(t.withColumn("chunk", F.floor(F.col("pos") / CHUNK_SYMBOLS)), "cluster", "tensor_id", "chunk")
     rows = rows.join(tables.withColumnRenamed("cluster", "_c"), F.col("cluster").eqNullSafe(F.col("_c")), "left")
     rows = rows.filter(F.when(F.col("words").isNull(), F.raise_error(F.lit("too many symbols for a table")).cast("boolean")).otherwise(True)).drop("_c")
@@ -293,7 +321,8 @@ def _masked(words: np.ndarray) -> tuple[np.ndarray, bytes]:
 def roundtrip(bytes_: DataFrame) -> DataFrame:
     """Per (tensor_id, chunk) of rows (tensor_id, chunk, pos, word): sizes and mismatches of rANS over the
     masked bytes (upper half of each word; the lower half is a raw sidecar) and of tANS over whole words,
-    with the table of their own vocabulary. More than MAX_VOCABULARY words have no table and stay raw."""
+    with the tables of their own vocabulary (in pages of PAGE words). tans_log is that of the largest table.
+    More than MAX_VOCABULARY words have no table and stay raw."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         words = pdf.sort_values("pos")["word"].to_numpy("int64")
@@ -304,7 +333,7 @@ def roundtrip(bytes_: DataFrame) -> DataFrame:
         wrong = int((rans_decode(len(high), state, lanes, freq) != high).sum())
         names, codes = np.unique(words, return_inverse=True)
         log, plain = table_log(len(names)), len(names) > MAX_VOCABULARY
-        bits, wrong_tans = (32 * len(words), 0) if plain else tans_code(codes, tans_quantise(np.bincount(codes), 1 << log))
+        bits, wrong_tans = (32 * len(words), 0) if plain else paged_code(codes, np.bincount(codes))
         return pd.DataFrame({"tensor_id": [pdf["tensor_id"].iloc[0]], "chunk": [pdf["chunk"].iloc[0]], "n": [len(words)], "rans_bytes": [min(size, len(high))], "is_raw": [size >= len(high)], "sidecar_bytes": [2 * len(words)], "tans_symbols": [len(names)], "tans_log": [log], "tans_raw": [plain], "tans_bits": [bits], "rans_mismatches": [wrong], "tans_mismatches": [wrong_tans], "freq_sum": [int(freq.sum())]})
 
     return bytes_.groupBy("tensor_id", "chunk").applyInPandas(run, "tensor_id string, chunk long, n long, rans_bytes long, is_raw boolean, sidecar_bytes long, tans_symbols long, tans_log int, tans_raw boolean, tans_bits long, rans_mismatches long, tans_mismatches long, freq_sum long")
@@ -326,58 +355,114 @@ def anchors(t: DataFrame) -> DataFrame:
     return hist.groupBy("cluster").applyInPandas(run, "cluster string, anchor string, norm_freq array<long>")  # 256 rows a group
 
 
-def vocabularies(t: DataFrame) -> DataFrame:
-    """Per cluster of rows (cluster, word): the merged vocabulary and its tANS frequencies; clusters of
-    more than MAX_VOCABULARY words have no row."""
+def vocabularies(t: DataFrame, most: int | None = None, page: int | None = None) -> DataFrame:
+    """Per cluster of rows (cluster, word): the merged vocabulary and its tANS frequencies as rows (cluster, page,
+    words, freq); clusters of more than ``most`` (MAX_VOCABULARY) words have no row.
+
+    Page p has the words of ranks p * ``page`` (PAGE) on. Where there are several, page -1 is the table of
+    their numbers. So no task holds more than a page's words or a number for each page."""
+    most, page = most or MAX_VOCABULARY, page or PAGE
     merged = t.groupBy("cluster", "word").agg(F.count(F.lit(1)).alias("cnt"))
-    fit = merged.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= MAX_VOCABULARY).select(F.col("cluster").alias("_c"))
+    fit = merged.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= most).select(F.col("cluster").alias("_c"))
+    merged = merged.join(fit, F.col("cluster").eqNullSafe(F.col("_c"))).select("cluster", "word", "cnt")
+    ranked = running_total(merged, ["cluster"], [F.col("word")], F.lit(1), "rank")
+    paged = ranked.select("cluster", F.floor(F.col("rank") / page).alias("page"), "word", "cnt")
+    numbers = paged.groupBy("cluster", F.col("page").alias("word")).agg(F.sum("cnt").alias("cnt"))
+    split = numbers.filter("word = 1").select(F.col("cluster").alias("_c"))
+    numbers = numbers.join(split, F.col("cluster").eqNullSafe(F.col("_c"))).select("cluster", F.lit(-1).cast("long").alias("page"), "word", "cnt")
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("word")
         freq = tans_quantise(pdf["cnt"].to_numpy("int64"), 1 << table_log(len(pdf)))
-        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "words": [pdf["word"].tolist()], "freq": [freq.tolist()]})
+        return pd.DataFrame({"cluster": [pdf["cluster"].iloc[0]], "page": [pdf["page"].iloc[0]], "words": [pdf["word"].tolist()], "freq": [freq.tolist()]})
+
+    return paged.unionByName(numbers).groupBy("cluster", "page").applyInPandas(run, "cluster string, page long, words array<long>, freq array<long>")
+
+
+def _split(rows: DataFrame, tables: DataFrame) -> DataFrame:
+    """Chunks (cluster, tensor_id, chunk, word) by the pages of their cluster's ``vocabularies``, joined to the
+    tables: cluster, tensor_id, chunk, page, part, words, freq. A part is what words a chunk has of a page, in
+    their order, as little-endian bytes; that of page -1 is the page number of every word. Clusters without
+    tables have one part of page 0, and no table."""
+    firsts = tables.filter("page >= 0").groupBy(F.col("cluster").alias("_c")).agg(F.sort_array(F.collect_list(F.element_at("words", 1))).alias("firsts"))
+    rows = rows.join(firsts, F.col("cluster").eqNullSafe(F.col("_c")), "left").select("cluster", "tensor_id", "chunk", "word", "firsts")
+
+    def run(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                words, firsts = np.asarray(r.word, dtype=np.int64), np.asarray([0] if r.firsts is None else r.firsts, dtype=np.int64)
+                at = np.searchsorted(firsts, words, side="right") - 1
+                parts = [(p, words[places]) for p, places in _by_page(at)] + ([(-1, at)] if len(firsts) > 1 else [])
+                yield pd.DataFrame([(r.cluster, r.tensor_id, r.chunk, p, x.astype("<u4").tobytes()) for p, x in parts], columns=["cluster", "tensor_id", "chunk", "page", "part"])
 
-    return merged.join(fit, F.col("cluster").eqNullSafe(F.col("_c"))).select("cluster", "word", "cnt").groupBy("cluster").applyInPandas(run, "cluster string, words array<long>, freq array<long>")
+    return _tabled(rows.mapInPandas(run, "cluster string, tensor_id string, chunk long, page long, part binary"), tables)
+
+
+def _tabled(parts: DataFrame, tables: DataFrame) -> DataFrame:
+    """Rows of (cluster, page) with words and freq of their table; null where there is none."""
+    parts = parts.repartition(int(parts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cluster", "page")
+    t = tables.select(F.col("cluster").alias("_c"), F.col("page").alias("_p"), "words", "freq")
+    return parts.join(t, F.col("cluster").eqNullSafe(F.col("_c")) & (F.col("page") == F.col("_p")), "left").drop("_c", "_p")
 
 
 def _gathered(t: DataFrame, *keys: str) -> DataFrame:
     return t.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("pos", "word"))).alias("x")).select(*keys, F.col("x.word").alias("word"))
 
 
-def shared_tables(t: DataFrame) -> DataFrame:
+def shared_tables(t: DataFrame, page: int | None = None) -> DataFrame:
     """Per (cluster, tensor_id, chunk) of rows (cluster, tensor_id, chunk, pos, word): tANS with the chunk's
-    own table against the table merged over the cluster, and rANS with the table of the cluster's anchor.
-
-    Table bytes are 8 a symbol, the cluster's counted once, with the first chunk of its anchor. What has
-    no table stays raw at 32 bits a word."""
-    models = anchors(t).join(vocabularies(t).withColumnRenamed("cluster", "_c"), F.col("cluster").eqNullSafe(F.col("_c")), "left").drop("_c")
+    own tables against those merged over the cluster, and rANS with the table of the cluster's anchor.
+
+    Table bytes are 8 a symbol, the cluster's counted once, with the first chunk of its anchor. Vocabularies
+    of more than ``page`` (PAGE) words have several tables; the bits hold the page numbers then, and 64 for each
+    page's count, the cluster's counted with its table bytes. What has no table stays raw at 32 bits a word."""
+    page = page or PAGE
+    keys = ("cluster", "tensor_id", "chunk")
+    tables = materialise(vocabularies(t, page=page), "tables")
     first = t.groupBy("cluster", "tensor_id").agg(F.min("chunk").alias("first")).select(F.col("cluster").alias("_k"), F.col("tensor_id").alias("_t"), "first")
-    rows = _gathered(t, "cluster", "tensor_id", "chunk").join(first, F.col("cluster").eqNullSafe(F.col("_k")) & (F.col("tensor_id") == F.col("_t"))).drop("_k", "_t")
-    rows = rows.join(models.withColumnRenamed("cluster", "_c"), F.col("cluster").eqNullSafe(F.col("_c"))).drop("_c")
+    chunks = _gathered(t, *keys)
+    rows = chunks.join(first, F.col("cluster").eqNullSafe(F.col("_k")) & (F.col("tensor_id") == F.col("_t"))).drop("_k", "_t")
+    rows = rows.join(anchors(t).withColumnRenamed("cluster", "_c"), F.col("cluster").eqNullSafe(F.col("_c"))).drop("_c")
 
     def one(r) -> tuple:
         words = np.asarray(r.word, dtype=np.int64)
         names, codes = np.unique(words, return_inverse=True)
-        own, wrong = (32 * len(words), 0) if len(names) > MAX_VOCABULARY else tans_code(codes, tans_quantise(np.bincount(codes), 1 << table_log(len(names))))
-        plain = r.words is None
-        vocabulary = np.asarray([] if plain else r.words, dtype=np.int64)
-        bits, wrong_shared = (32 * len(words), 0) if plain else tans_code(np.searchsorted(vocabulary, words), np.asarray(r.freq, dtype=np.int64))
+        own, wrong = paged_code(codes, np.bincount(codes), page)
         high, _ = _masked(words)
         freq = np.asarray(r.norm_freq, dtype=np.int64)
         state, lanes = rans_encode(high, freq)
         size = sum(map(len, lanes))
         wrong_rans = int((rans_decode(len(high), state, lanes, freq) != high).sum())
-        charged = r.tensor_id == r.anchor and r.chunk == r.first
-        own_table = 0 if len(names) > MAX_VOCABULARY else 8 * len(names)
-        return (r.cluster, r.tensor_id, r.chunk, r.anchor, len(words), own, own_table, bits, 8 * len(vocabulary) if charged else 0, plain, min(size, len(high)), wrong, wrong_shared, wrong_rans)
+        return (r.cluster, r.tensor_id, r.chunk, r.anchor, len(words), own, 8 * len(names), min(size, len(high)), wrong, wrong_rans, r.tensor_id == r.anchor and r.chunk == r.first)
 
-    schema = "cluster string, tensor_id string, chunk long, anchor string, n long, own_bits long, own_table_bytes long, shared_bits long, shared_table_bytes long, shared_raw boolean, rans_bytes long, own_mismatches long, shared_mismatches long, rans_mismatches long"
+    schema = "cluster string, tensor_id string, chunk long, anchor string, n long, own_bits long, own_table_bytes long, rans_bytes long, own_mismatches long, rans_mismatches long, charged boolean"
 
     def run(batches):
         for pdf in batches:
             yield pd.DataFrame([one(r) for r in pdf.itertuples(index=False)], columns=[f.strip().split(" ")[0] for f in schema.split(",")])
 
-    return rows.mapInPandas(run, schema)
+    def code(batches):
+        for pdf in batches:
+            out = []
+            for r in pdf.itertuples(index=False):
+                words = np.frombuffer(r.part, "<u4").astype(np.int64)
+                plain = r.words is None
+                bits, wrong = (32 * len(words), 0) if plain else tans_code(np.searchsorted(np.asarray(r.words, dtype=np.int64), words), np.asarray(r.freq, dtype=np.int64))
+                out.append((r.cluster, r.tensor_id, r.chunk, bits, wrong, plain))
+            yield pd.DataFrame(out, columns=["_k", "_t", "_n", "bits", "wrong", "plain"])
+
+    parts = _split(chunks, tables).mapInPandas(code, "_k string, _t string, _n long, bits long, wrong long, plain boolean")
+    parts = parts.groupBy("_k", "_t", "_n").agg(F.sum("bits").alias("bits"), F.sum("wrong").alias("wrong"), F.max("plain").alias("plain"))
+    sizes = tables.groupBy(F.col("cluster").alias("_c")).agg(
+        F.coalesce(F.sum(F.when(F.col("page") >= 0, F.size("words"))), F.lit(0)).alias("symbols"), F.coalesce(F.sum(F.when(F.col("page") < 0, F.size("words"))), F.lit(0)).alias("pages")
+    )
+    x = rows.mapInPandas(run, schema).join(parts, F.col("cluster").eqNullSafe(F.col("_k")) & (F.col("tensor_id") == F.col("_t")) & (F.col("chunk") == F.col("_n")))
+    x = x.join(sizes, F.col("cluster").eqNullSafe(F.col("_c")), "left")
+    once = lambda c: F.when(F.col("charged"), F.coalesce(F.col(c), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    return x.select(
+        *keys, "anchor", "n", "own_bits", "own_table_bytes", (F.col("bits") + 64 * once("pages")).alias("shared_bits"), (8 * once("symbols")).alias("shared_table_bytes"),
+        F.col("plain").alias("shared_raw"), "rans_bytes", "own_mismatches", F.col("wrong").alias("shared_mismatches"), "rans_mismatches",
+    )
 
 
 def coded(t: DataFrame) -> DataFrame:

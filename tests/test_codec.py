@@ -146,6 +146,35 @@ def test_vocabulary_without_a_table_stays_raw(spark, monkeypatch):
     assert [r["cluster"] for r in codec.vocabularies(t).collect()] == ["c"]
 
 
+def test_vocabularies_in_pages(spark):
+    r = np.random.default_rng(12)
+    a, b = r.permutation(100)[:90], r.integers(50, 130, 400)
+    t = words_of(spark, [("c", "a", a), ("c", "b", b), (None, "d", [7, 7, 9])])
+    merged = np.unique(np.concatenate([a, b]), return_counts=True)
+    table = {(x["cluster"], x["page"]): x for x in codec.vocabularies(t, page=16).collect()}
+    n = -(-len(merged[0]) // 16)
+    assert set(table) == {*(("c", p) for p in range(-1, n)), (None, 0)}
+    assert sum((table["c", p]["words"] for p in range(n)), []) == merged[0].tolist() and max(len(x["words"]) for x in table.values()) == 16
+    assert table["c", -1]["words"] == list(range(n)) and table["c", -1]["freq"] == codec.tans_quantise(np.add.reduceat(merged[1], np.arange(0, len(merged[0]), 16)), 256).tolist()
+    got = {x["tensor_id"]: x for x in codec.shared_tables(t, page=16).collect()}
+    assert (got["a"]["own_table_bytes"], got["b"]["own_table_bytes"]) == (8 * 90, 8 * len(np.unique(b)))
+    assert (got["a"]["shared_table_bytes"], got["b"]["shared_table_bytes"], got["d"]["shared_table_bytes"]) == (8 * len(merged[0]), 0, 16)
+    assert all(x["own_mismatches"] == x["shared_mismatches"] == 0 and not x["shared_raw"] for x in got.values())
+    # the pages and the places in them are the words: as many bits as under one table, but for rounding and the pages' counts
+    whole = {x["tensor_id"]: x for x in codec.shared_tables(t).collect()}
+    assert got["d"] == whole["d"]
+    for name, pages, shared in (("a", 6, n), ("b", -(-len(np.unique(b)) // 16), 0)):
+        assert abs(got[name]["own_bits"] - 64 * pages - whole[name]["own_bits"]) < 0.1 * whole[name]["own_bits"] and abs(got[name]["shared_bits"] - 64 * shared - whole[name]["shared_bits"]) < 0.1 * whole[name]["shared_bits"]
+
+
+def test_more_words_than_the_largest_table(spark):
+    x = np.random.default_rng(13).permutation(np.arange(codec.PAGE + 500))
+    bits, wrong = codec.paged_code(x, np.ones(len(x), dtype=np.int64))
+    assert wrong == 0 and 16 * len(x) < bits < 18 * len(x)
+    one = codec.compare_tables(codec.shared_tables(words_of(spark, [("c", "a", x * 3)]))).first()
+    assert one["own_table_bytes"] == one["shared_table_bytes"] == 8 * len(x) and one["own_stream_bytes"] == one["shared_stream_bytes"] == -(-bits // 8) < one["raw_bytes"]
+
+
 def test_shared_tables(spark):
     r = np.random.default_rng(6)
     tensors = [("c", "a", r.integers(0, 300, 900)), ("c", "b", r.integers(100, 500, 700)), ("d", "e", r.integers(0, 9, 400) << 20)]
