@@ -237,45 +237,87 @@ def tans_unchunk(raw: bytes, freq: np.ndarray, table, at: int = 0) -> tuple[np.n
     return np.array(tans_decode(n, x, bits.tolist(), freq, table), dtype=np.int64), at + 8 * n_words
 
 
+def _chunk_end(raw: bytes, at: int) -> int:
+    return at + _CHUNK.size + 8 * _CHUNK.unpack_from(raw, at)[3]
+
+
 #: Symbols in a chunk.
 CHUNK_SYMBOLS = 2_000_000
 
 
-def tans_streams(t: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(streams: cluster, tensor_id, chunk, n, data; tables: cluster, words, freq) of rows (cluster, tensor_id,
-    pos, word): whole words under the table of their cluster. A tensor's stream is the number of its chunks
-    (u32) and their data in order. Clusters with more than MAX_VOCABULARY words raise."""
-    tables = materialise(vocabularies(t, most=min(MAX_VOCABULARY, PAGE)).drop("page"), "tables")
+def tans_streams(t: DataFrame, page: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """(streams: cluster, tensor_id, chunk, n, data; tables: those of ``vocabularies``) of rows (cluster,
+    tensor_id, pos, word): whole words under the tables of their cluster. A tensor's stream is its chunks in
+    order. The data of a chunk is one tANS chunk or, where the cluster has several pages of ``page`` (PAGE)
+    words, that of the page numbers and then one for each page that occurs, in order. Clusters with more than
+    MAX_VOCABULARY words raise."""
+    tables = materialise(vocabularies(t, page=page), "tables")
     rows = _gathered(t.withColumn("chunk", F.floor(F.col("pos") / CHUNK_SYMBOLS)), "cluster", "tensor_id", "chunk")
-    rows = rows.join(tables.withColumnRenamed("cluster", "_c"), F.col("cluster").eqNullSafe(F.col("_c")), "left")
-    rows = rows.filter(F.when(F.col("words").isNull(), F.raise_error(F.lit("too many symbols for a table")).cast("boolean")).otherwise(True)).drop("_c")
 
     def run(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
+                if r.words is None:
+                    raise ValueError("too many symbols for a table")
                 freq = np.asarray(r.freq, dtype=np.int64)
-                codes = np.searchsorted(np.asarray(r.words, dtype=np.int64), np.asarray(r.word, dtype=np.int64))
-                out.append((r.cluster, r.tensor_id, r.chunk, len(codes), tans_chunk(codes, freq, tans_table(freq))))
-            yield pd.DataFrame(out, columns=["cluster", "tensor_id", "chunk", "n", "data"])
+                codes = np.searchsorted(np.asarray(r.words, dtype=np.int64), np.frombuffer(r.part, "<u4").astype(np.int64))
+                out.append((r.cluster, r.tensor_id, r.chunk, r.page, len(codes), tans_chunk(codes, freq, tans_table(freq))))
+            yield pd.DataFrame(out, columns=["cluster", "tensor_id", "chunk", "page", "n", "data"])
 
-    return rows.mapInPandas(run, "cluster string, tensor_id string, chunk long, n long, data binary"), tables
+    parts = _split(rows, tables).mapInPandas(run, "cluster string, tensor_id string, chunk long, page long, n long, data binary")
+    joined = F.unhex(F.concat_ws("", F.transform(F.sort_array(F.collect_list(F.struct("page", F.hex("data").alias("h")))), lambda x: x["h"])))
+    return parts.groupBy("cluster", "tensor_id", "chunk").agg(F.sum(F.when(F.col("page") >= 0, F.col("n"))).alias("n"), joined.alias("data")), tables
 
 
 def tans_words(streams: DataFrame, tables: DataFrame) -> DataFrame:
-    """tensor_id, chunk, words (little-endian bytes) out of streams and tables."""
-    rows = streams.join(tables.withColumnRenamed("cluster", "_c"), F.col("cluster").eqNullSafe(F.col("_c"))).drop("_c")
+    """tensor_id, chunk, words (little-endian bytes) out of streams and tables. Streams without a table raise."""
+    numbers = tables.filter("page < 0").select(F.col("cluster").alias("_c"), "words", "freq")
+    rows = streams.join(numbers, F.col("cluster").eqNullSafe(F.col("_c")), "left").select("cluster", "tensor_id", "chunk", "data", "words", "freq")
 
-    def run(batches):
+    def open_(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                if r.words is None:
+                    parts = [(0, r.data)]
+                else:
+                    freq = np.asarray(r.freq, dtype=np.int64)
+                    pages, at = tans_unchunk(r.data, freq, tans_table(freq))
+                    parts = [(-1, pages.astype("<u4").tobytes())]
+                    for p in np.unique(pages).tolist():
+                        end = _chunk_end(r.data, at)
+                        parts.append((p, r.data[at:end]))
+                        at = end
+                yield pd.DataFrame([(r.cluster, r.tensor_id, r.chunk, p, x) for p, x in parts], columns=["cluster", "tensor_id", "chunk", "page", "part"])
+
+    def decode(batches):
         for pdf in batches:
             out = []
             for r in pdf.itertuples(index=False):
-                freq = np.asarray(r.freq, dtype=np.int64)
-                codes, _ = tans_unchunk(r.data, freq, tans_table(freq))
-                out.append((r.tensor_id, r.chunk, np.asarray(r.words, dtype=np.int64)[codes].astype("<u4").tobytes()))
-            yield pd.DataFrame(out, columns=["tensor_id", "chunk", "words"])
-
-    return rows.mapInPandas(run, "tensor_id string, chunk long, words binary")
+                if r.words is None:
+                    raise ValueError("a stream without a table")
+                part = r.part
+                if r.page >= 0:
+                    freq = np.asarray(r.freq, dtype=np.int64)
+                    codes, _ = tans_unchunk(part, freq, tans_table(freq))
+                    part = np.asarray(r.words, dtype=np.int64)[codes].astype("<u4").tobytes()
+                out.append((r.cluster, r.tensor_id, r.chunk, r.page, part))
+            yield pd.DataFrame(out, columns=["cluster", "tensor_id", "chunk", "page", "part"])
+
+    def together(batches):
+        for pdf in batches:
+            for r in pdf.itertuples(index=False):
+                parts = [np.frombuffer(x["part"], "<u4") for x in r.x]
+                words = np.concatenate(parts[1:]) if len(parts) > 1 else parts[0]
+                if len(parts) > 1:  # by page, in their order; the first part tells which is where
+                    words, by = np.empty_like(words), words
+                    words[np.argsort(parts[0], kind="stable")] = by
+                yield pd.DataFrame({"tensor_id": [r.tensor_id], "chunk": [r.chunk], "words": [words.tobytes()]})
+
+    schema = "cluster string, tensor_id string, chunk long, page long, part binary"
+    parts = _tabled(rows.mapInPandas(open_, schema), tables).mapInPandas(decode, schema)
+    whole = parts.groupBy("cluster", "tensor_id", "chunk").agg(F.sort_array(F.collect_list(F.struct("page", "part"))).alias("x"))
+    return whole.select("tensor_id", "chunk", "x").mapInPandas(together, "tensor_id string, chunk long, words binary")
 
 
 def save_streams(streams: DataFrame, tables: DataFrame, path: str) -> None:

@@ -122,6 +122,26 @@ def test_streams_of_several_chunks(spark, monkeypatch):
         codec.tans_streams(t)[0].collect()
 
 
+def test_streams_of_vocabularies_in_pages(spark, monkeypatch):
+    monkeypatch.setattr(codec, "CHUNK_SYMBOLS", 100)
+    r = np.random.default_rng(14)
+    x = {("c", "a"): r.permutation(250), ("c", "b"): np.array([3, 3, 200, 3]), ("d", "e"): r.integers(0, 1 << 32, 30), (None, "f"): np.array([5, 5])}
+    streams, tables = codec.tans_streams(words_of(spark, [(c, k, v) for (c, k), v in x.items()]).drop("chunk"), page=16)
+    assert tables.filter("page < 0").count() == 2
+    assert sorted((r["tensor_id"], r["chunk"], r["n"]) for r in streams.collect()) == [("a", 0, 100), ("a", 1, 100), ("a", 2, 50), ("b", 0, 4), ("e", 0, 30), ("f", 0, 2)]
+    back = sorted((r["tensor_id"], r["chunk"], bytes(r["words"])) for r in codec.tans_words(streams, tables).collect())
+    assert {k: b"".join(w for name, _, w in back if name == k) for _, k in x} == {k: v.astype("<u4").tobytes() for (_, k), v in x.items()}
+    # what has no table isn't left out
+    with pytest.raises(Exception, match="without a table"):
+        codec.tans_words(streams, tables.filter("cluster = 'c'")).collect()
+
+
+def test_streams_of_more_words_than_the_largest_table(spark):
+    x = np.random.default_rng(15).permutation(np.arange(codec.PAGE + 500)) * 5
+    back = codec.tans_words(*codec.tans_streams(words_of(spark, [("c", "a", x)]).drop("chunk"))).collect()
+    assert [bytes(r["words"]) for r in back] == [x.astype("<u4").tobytes()]
+
+
 def words_of(spark, tensors):
     rows = [(c, t, 0, i, int(w)) for c, t, x in tensors for i, w in enumerate(x)]
     return spark.createDataFrame(rows, "cluster string, tensor_id string, chunk long, pos long, word long")
