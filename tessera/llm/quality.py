@@ -16,12 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh3_64_intdigest
 
-from tessera.llm._common import one_text, read, slices
+from tessera.llm._common import materialise, one_text, read, slices
 
 #: Buckets of the hashed n-grams: bounds the models, 16 bytes a bucket.
 BUCKETS = 1 << 14
-#: Trusted documents the target model is fitted on, at most: those with the smallest hashes.
-MAX_TARGET_DOCS = 20_000
 #: Kept from this mean log ratio (nats per n-gram) on where too few trusted documents tell a threshold.
 THRESHOLD = -0.1
 #: Parts of the trusted documents; each is scored by a target model of the others, and the threshold is the
@@ -114,18 +112,19 @@ def _means(doc: np.ndarray, ratio: np.ndarray, n_docs: int) -> np.ndarray:
     return np.bincount(doc, weights=ratio, minlength=n_docs) / np.maximum(np.bincount(doc, minlength=n_docs), 1)
 
 
-def fit_ratio(docs: DataFrame, trusted: DataFrame, max_target_docs: int = MAX_TARGET_DOCS) -> tuple[np.ndarray, float]:
+def fit_ratio(docs: DataFrame, trusted: DataFrame) -> tuple[np.ndarray, float]:
     """log p_target - log p_raw of every bucket, and the threshold.
 
-    ``trusted`` has doc_id. Raw counts cover all documents; the target model is fitted on at most
-    ``max_target_docs`` of the trusted ones (by hash order, so reruns agree). Without trusted
-    documents all ratios are 0. The threshold is taken from all rows of these documents that pass the
-    base rules, each scored without its part of the trusted ones, and is 0 at most; with trusted
-    documents in one part alone, or none that pass, it is ``THRESHOLD``. Rows of one id are in one part.
+    ``trusted`` has doc_id. Raw counts cover all documents, the target model all trusted ones. Without
+    trusted documents all ratios are 0. The threshold is taken from all rows of trusted documents that pass
+    the base rules, each scored without its part of them, and is 0 at most; with trusted documents in one
+    part alone, or none that pass, it is ``THRESHOLD``. Rows of one id are in one part.
     """
-    ids = trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_target_docs)
-    ids = F.broadcast(ids.withColumn("fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS))))
-    marked = one_text(docs).join(ids, "doc_id", "left").select("text", F.coalesce("fold", F.lit(-1).cast("long")).alias("fold"))
+    # written once, for two joins
+    ids = materialise(trusted.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "trusted").withColumn("_trusted", F.lit(True))
+    own = one_text(docs).withColumn("_fold", F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(FOLDS)))
+    # by a shuffle whatever their number: no executor holds all ids, and the disk it takes is in proportion to the input
+    marked = own.join(ids.hint("merge"), "doc_id", "left").select("text", F.when(F.col("_trusted"), F.col("_fold")).otherwise(F.lit(-1)).cast("long").alias("fold"))
     sums = marked.mapInArrow(_counts, "fold long, bucket long, n long").groupBy("fold", "bucket").agg(F.sum("n").alias("n"))
     counts = np.zeros((FOLDS + 1, BUCKETS))
     for r in sums.collect():  # BUCKETS rows of each part at most
@@ -141,12 +140,13 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, max_target_docs: int = MAX_TA
         for part, texts in slices(batches):
             flat, n = _hashes(texts)
             bucket, doc = _ngrams(flat, n)
-            llr = _means(doc, without[part.column("fold").to_numpy()[doc], bucket], len(n))
+            llr = _means(doc, without[part.column("_fold").to_numpy()[doc], bucket], len(n))
             repeat = _repeated(flat, n, np.repeat(np.arange(len(n)), n))
-            llr = llr[(n >= 50) & (100 * repeat <= 50 * n)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.floor(llr / STEP).astype(np.int64))], names=["step"])
+            good = (n >= 50) & (100 * repeat <= 50 * n)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id").filter(pa.array(good)), pa.array(np.floor(llr[good] / STEP).astype(np.int64))], names=["doc_id", "step"])
 
-    scored = one_text(docs).join(ids, "doc_id").select("text", "fold").mapInArrow(held_out, "step long")
+    # every document is scored and its step joined to the ids: no text goes through a shuffle for it
+    scored = own.filter("doc_id IS NOT NULL").mapInArrow(held_out, f"doc_id {dict(docs.dtypes)['doc_id']}, step long").join(ids, "doc_id", "left_semi")
     # a row a step: bounded by the range of the ratios, whatever the number of rows
     steps = sorted((r["step"], r["count"]) for r in scored.groupBy("step").count().collect())
     left = MISSED * sum(n for _, n in steps)
@@ -157,7 +157,7 @@ def fit_ratio(docs: DataFrame, trusted: DataFrame, max_target_docs: int = MAX_TA
     return _log_ratio(raw, target), THRESHOLD
 
 
-def quality(docs: DataFrame, trusted: DataFrame, threshold: float | None = None, max_target_docs: int = MAX_TARGET_DOCS) -> DataFrame:
+def quality(docs: DataFrame, trusted: DataFrame, threshold: float | None = None) -> DataFrame:
     """doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, llr.
 
     ``threshold``: of llr, by default that of ``fit_ratio``; a score at it (a tie) is kept. One row per
@@ -165,7 +165,7 @@ def quality(docs: DataFrame, trusted: DataFrame, threshold: float | None = None,
     base rule; null ids are scored like others. Whole texts are read, whatever their length. Columns
     of ``docs`` other than doc_id and text play no part. Empty input: no rows.
     """
-    ratio, own = fit_ratio(docs, trusted, max_target_docs)
+    ratio, own = fit_ratio(docs, trusted)
     least = own if threshold is None else threshold
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

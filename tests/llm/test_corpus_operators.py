@@ -85,6 +85,22 @@ def test_quality_ratio_is_the_two_multinomials(spark, rows, docs):
     assert not none.any() and threshold == quality.THRESHOLD
 
 
+def test_quality_fits_all_trusted_documents(spark):
+    n = 20_500  # more than the 20,000 that were the most once; one n-gram a document
+    docs = spark.range(n + 300).selectExpr("id AS doc_id", f"IF(id < {n}, 'good', 'other') AS text")
+    trusted = spark.range(n).selectExpr("id AS doc_id")
+    at = [int(quality._ngrams(*quality._hashes([x]))[0][0]) for x in (b"good", b"other")]
+    raw = (np.array([n, 300]) + 1) / (n + 300 + quality.BUCKETS)
+    want = np.log((np.array([n, 0]) + quality.SMOOTHING * raw) / (n + quality.SMOOTHING) / raw)
+    size = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        for limit in (size, "-1"):  # ids broadcast, and too many for it
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+            assert np.allclose(quality.fit_ratio(docs, trusted)[0][at], want, rtol=0, atol=1e-12)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", size)
+
+
 def test_quality_threshold_is_what_trusted_documents_reach_unseen(spark):
     r = random.Random(8)
     plain, junk = ([f"{c}{i}" for i in range(300)] for c in "pj")
